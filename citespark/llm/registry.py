@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from citespark.llm import quality, simhash, warc
+from citespark.llm import bpe, packing, quality, simhash, warc
 
 
 def queries() -> dict:
-    return {"op1_quality": quality.op1_quality, "op3_simhash": simhash.op3_simhash, "op9_warc": warc.op9_warc}
+    return {
+        "op1_quality": quality.op1_quality, "op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing,
+        "op7_bpe": bpe.op7_bpe, "op9_warc": warc.op9_warc,
+    }
 
 
 def oracle_sql() -> dict:
