@@ -1,6 +1,6 @@
 """Quality by weak supervision: rules vote good, bad or abstain; expectation-maximisation over the votes estimates how
 accurate each rule is; the posterior probability of good decides. Only DataFrame functions touch rows. What the driver
-holds is the table of distinct vote patterns (at most 3 to the power of the number of rules) and 2 numbers for each rule.
+holds is the table of distinct vote patterns (at most 3 to the power of the number of rules) and 6 numbers for each rule.
 """
 
 from __future__ import annotations
@@ -81,32 +81,50 @@ def vote_columns() -> list[Column]:
     ]
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 50, prior: float = 0.7) -> tuple[float, list[float]]:
-    """Vote patterns with counts -> (share of good rows, accuracy of each rule when it votes).
+VOTES = (-1, 0, 1)
+#: Chance of each of VOTES from a good and from a bad row, at the start.
+START = ((0.04, 0.26, 0.7), (0.4, 0.2, 0.4))
 
-    Accuracies start at 0.8 and stay in 0.55 to 0.99: a rule informs and never turns around. No rows: the starting values.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, prior: float = 0.85) -> tuple[float, list]:
+    """Vote patterns with counts -> (share of good rows, for each rule the log ratio good : bad of each of VOTES).
+
+    What is estimated for a rule is how often it votes each way on good and on bad rows. A rule never turns around: a
+    bad vote stays at least ODDS times likelier from a bad row than from a good one, a good vote no likelier. No rows:
+    the starting values.
     """
-    acc = [0.8] * rules
+    table = [START] * rules
     for _ in range(rounds):
+        ratios = log_ratios(table)
         good = total = 0.0
-        right, cast = [1.6] * rules, [2.0] * rules
+        seen = [[[10 * x for x in START[c]] for c in (0, 1)] for _ in range(rules)]
         for votes, n in patterns:
-            p = posterior(votes, prior, acc)
+            p = posterior(votes, prior, ratios)
             good, total = good + n * p, total + n
             for j, v in enumerate(votes):
-                if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
+                seen[j][0][v + 1] += n * p
+                seen[j][1][v + 1] += n * (1 - p)
         if not total:
             break
-        prior = min(max(good / total, 0.05), 0.95)
-        acc = [min(max(r / c, 0.55), 0.99) for r, c in zip(right, cast)]
-    return prior, acc
+        prior = min(max(good / total, 0.5), 0.99)
+        table = [tuple(tuple(x / sum(row) for x in row) for row in pair) for pair in seen]
+    return prior, log_ratios(table)
+
+
+ODDS = 5
+
+
+def log_ratios(table: list) -> list[tuple[float, float, float]]:
+    out = []
+    for good, bad in table:
+        low, mid, high = (math.log(g / b) for g, b in zip(good, bad))
+        out.append((min(low, -math.log(ODDS)), min(max(mid, -1.0), 1.0), max(high, 0.0)))
+    return out
 
 
-def posterior(votes, prior: float, acc: list[float]) -> float:
-    logit = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc))
-    return 1 / (1 + math.exp(-logit))
+def posterior(votes, prior: float, ratios: list) -> float:
+    logit = math.log(prior / (1 - prior)) + sum(r[v + 1] for v, r in zip(votes, ratios))
+    return 1 / (1 + math.exp(-max(min(logit, 500.0), -500.0)))
 
 
 def weak_supervision(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -119,10 +137,10 @@ def weak_supervision(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counted = features(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
     voted = scratch.put("votes", counted.select("*", *vote_columns()))
     patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*RULES).count().orderBy(*RULES).collect()]
-    prior, acc = fit(patterns, len(RULES))
+    prior, ratios = fit(patterns, len(RULES))
     logit = F.lit(math.log(prior / (1 - prior)))
-    for rule, a in zip(RULES, acc):
-        logit = logit + F.col(rule) * F.lit(math.log(a / (1 - a)))
+    for rule, (low, mid, high) in zip(RULES, ratios):
+        logit = logit + F.when(F.col(rule) < 0, low).when(F.col(rule) > 0, high).otherwise(mid)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     quality = 1 / (1 + F.exp(-logit))
     return voted.select(

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from citespark.llm import bpe, packing, quality, simhash, warc
+from citespark.llm import bpe, packing, quality, simhash, spans, toxicity, warc
 
 
 def queries() -> dict:
     return {
-        "op1_quality": quality.op1_quality, "op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing,
-        "op7_bpe": bpe.op7_bpe, "op9_warc": warc.op9_warc,
+        "op1_quality": quality.op1_quality, "op2_toxicity": toxicity.op2_toxicity, "op3_simhash": simhash.op3_simhash, "op4_packing": packing.op4_packing,
+        "op7_bpe": bpe.op7_bpe, "op9_warc": warc.op9_warc, "op10_spans": spans.op10_spans,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op9_warc": warc.ORACLE}
+    return {"op9_warc": warc.ORACLE, "op10_spans": spans.ORACLE}
