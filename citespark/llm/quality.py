@@ -72,12 +72,12 @@ def vote_columns() -> list[Column]:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
     return [
-        vote(n >= 30, n < 15).alias("length"),
-        vote((c >= 3 * n) & (c <= 9 * n), (c < 2 * n) | (c > 14 * n)).alias("word_length"),
+        vote(n >= 30, n < 10).alias("length"),
+        vote((c >= 3 * n) & (c <= 9 * n), (c < n) | (c > 30 * n)).alias("word_length"),
         vote(20 * s <= n, 5 * s > n).alias("symbols"),
-        vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") >= 5).alias("dup_lines"),
-        vote(20 * F.col("n_repeat_words") <= n, 10 * F.col("n_repeat_words") > n).alias("repeats"),
-        vote((n < 400) & (2 * F.col("n_distinct") >= n), (n < 400) & (5 * F.col("n_distinct") < n)).alias("diversity"),
+        vote(F.col("n_dup_lines") == 0, 2 * F.col("n_dup_lines") >= n).alias("dup_lines"),
+        vote(20 * F.col("n_repeat_words") <= n, 5 * F.col("n_repeat_words") > n).alias("repeats"),
+        vote((n < 400) & (2 * F.col("n_distinct") >= n), (n < 400) & (10 * F.col("n_distinct") < n)).alias("diversity"),
     ]
 
 
@@ -111,7 +111,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 1
     return prior, log_ratios(table)
 
 
-ODDS = 5
+#: Rules vote bad on plain grounds only, so a bad vote counts at least this much.
+ODDS = 500
 
 
 def log_ratios(table: list) -> list[tuple[float, float, float]]:

@@ -11,7 +11,7 @@ from citespark.llm.common import SPACES, Scratch, documents
 
 #: A sentence ends with its full stops or line ends; the pieces put together are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
-RUN = 3
+RUN, MIN_CHARS = 2, 40
 
 
 def sentence_list(text: Column) -> Column:
@@ -23,7 +23,7 @@ def norm(sentence: Column) -> Column:
     return F.lower(F.translate(sentence, SPACES, ""))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_chars: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs, all columns kept, with the text shortened, and n_sentences and n_removed.
 
     Sentences without any character but white space are passed over. Runs of ``run`` sentences (of at least ``min_chars``
@@ -69,9 +69,9 @@ ORACLE = rf"""
 WITH s AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE}') AS s FROM documents),
 e AS (SELECT doc_id, unnest(s) AS t, generate_subscripts(s, 1) AS i FROM s),
 n AS (SELECT doc_id, i, lower(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS t FROM e),
-w AS (SELECT doc_id, i AS a, lead(i, 2) OVER o AS b, t AS x, lead(t) OVER o AS y, lead(t, 2) OVER o AS z
+w AS (SELECT doc_id, i AS a, lead(i) OVER o AS b, t AS x, lead(t) OVER o AS y
   FROM n WHERE t <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-r AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, a) AS k FROM w WHERE b IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY doc_id, a) AS k FROM w WHERE b IS NOT NULL AND length(x) + length(y) >= {MIN_CHARS}),
 g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM r WHERE k > 1)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_sentences, coalesce(c.n, 0)::BIGINT AS n_removed, coalesce(c.h, sha256('')) AS kept_sha256
 FROM s LEFT JOIN (SELECT e.doc_id, count(g.i) AS n, sha256(coalesce(string_agg(e.t, '' ORDER BY e.i) FILTER (g.i IS NULL), '')) AS h

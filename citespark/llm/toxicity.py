@@ -12,6 +12,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ def bucket(word: str) -> int:
 
 def sample_features(batches: Iterator):
     """Rows (toxic, text) -> toxic, buckets of the text's words, buckets after the exchange of group names (empty: none named)."""
-    import pandas as pd
-
     for pdf in batches:
         xs, swapped = [], []
         for text in pdf["text"]:
@@ -108,8 +107,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tupl
 
 def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a column out: the probability of label 1. Null and empty texts get the score of the intercept."""
-    import pandas as pd
-
     weight, intercept = model
 
     @F.pandas_udf("double")
