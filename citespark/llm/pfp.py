@@ -3,8 +3,8 @@
 Triggers of a rolling hash cut texts into phrases that depend on content only, so copies share phrases. A phrase is kept
 with the 49 bytes after it, so that every 50-byte string lies in exactly one such phrase. Equal phrases are stored once (the
 dictionary); the parse says where each occurs. Work on strings is done on the dictionary alone: one hash (the least of the
-string's 16-grams) finds the phrases that can share a string with another phrase, and only their strings are compared, by
-128-bit hashes that stand for their first 50 bytes in corpus order. All that is needed of that order is which strings are
+string's 16-grams) finds the phrases that can share a string with another phrase. Runs of strings with one such hash are
+compared whole, and string by string only where runs differ, by 128-bit hashes. All that is needed of that order is which strings are
 equal and the smallest document among them, so no suffix array is sorted.
 """
 
@@ -93,24 +93,47 @@ def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pid, phrase) -> (value, pid): the least grams of the phrase's strings, each once."""
     import numpy as np
 
     for pdf in batches:
-        for key, phrase in zip(pdf["key"], pdf["phrase"]):
-            values = np.unique(least_grams(np.frombuffer(phrase, np.uint8)))
-            yield pd.DataFrame({"value": values, "key": [key] * len(values)})
+        values = [np.unique(least_grams(np.frombuffer(p, np.uint8))) for p in pdf["phrase"]]
+        if values:
+            yield pd.DataFrame({"value": np.concatenate(values), "pid": np.repeat(pdf["pid"].to_numpy(), [len(v) for v in values])})
+
+
+def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(pid, phrase, first, vals) -> runs of neighbouring strings with one least gram out of vals: (value, a, b, pid, off, n, first)."""
+    import numpy as np
+
+    for pdf in batches:
+        rows = []
+        for pid, phrase, first, vals in zip(pdf["pid"], pdf["phrase"], pdf["first"], pdf["vals"]):
+            g = least_grams(np.frombuffer(phrase, np.uint8))
+            cut = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+            size = np.diff(np.append(cut, len(g)))
+            on = np.isin(g[cut], np.asarray(vals, dtype=np.int64))
+            for off, n, v in zip(cut[on].tolist(), size[on].tolist(), g[cut[on]].tolist()):
+                d = hashlib.blake2b(phrase[off:off + n + LENGTH - 1], digest_size=16).digest()
+                rows.append((v, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), pid, off, n, first))
+        yield pd.DataFrame(rows, columns=["value", "a", "b", "pid", "off", "n", "first"])
 
 
 def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, phrase, first, values) -> the strings of the phrase whose least gram is in values: (a, b, key, off, first)."""
+    """(a, b, first, bytes) of a run -> its strings: (x, y, a, b, at, first)."""
     import numpy as np
 
     for pdf in batches:
-        for key, phrase, first, values in zip(pdf["key"], pdf["phrase"], pdf["first"], pdf["vals"]):
-            data = np.frombuffer(phrase, np.uint8)
-            off = np.flatnonzero(np.isin(least_grams(data), np.asarray(values, dtype=np.int64)))
-            a, b = (mix(powers(data, f, (LENGTH,))[LENGTH])[off].view(np.int64) for f in FACTORS)
-            yield pd.DataFrame({"a": a, "b": b, "key": [key] * len(off), "off": off.astype(np.int32), "first": first})
+        parts = []
+        for a, b, first, raw in zip(pdf["a"], pdf["b"], pdf["first"], pdf["bytes"]):
+            data = np.frombuffer(raw, np.uint8)
+            x, y = (mix(powers(data, f, (LENGTH,))[LENGTH]).view(np.int64) for f in FACTORS)
+            parts.append((x, y, a, b, np.arange(len(x), dtype=np.int32), first))
+        if parts:
+            n = [len(p[0]) for p in parts]
+            cols = {c: np.concatenate([p[i] for p in parts]) for i, c in ((0, "x"), (1, "y"), (4, "at"))}
+            cols |= {c: np.repeat(np.array([p[i] for p in parts], dtype=np.int64), n) for i, c in ((2, "a"), (3, "b"), (5, "first"))}
+            yield pd.DataFrame(cols)[["x", "y", "a", "b", "at", "first"]]
 
 
 def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,18 +167,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     found = rows.select("uid", F.coalesce("id", F.lit(top)).alias("id"), "text").mapInPandas(parse, "uid long, id long, start long, key binary, phrase binary")
     found = scratch.put("phrases", found)
-    book = scratch.put("book", found.groupBy("key").agg(F.min("id").alias("first"), F.first("phrase").alias("phrase")))
-    sketch = scratch.put("sketch", book.select("key", "phrase").mapInPandas(sketches, "value long, key binary"))
-    shared = sketch.groupBy("value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("value")
-    wanted = sketch.join(shared.hint("shuffle_merge"), "value").groupBy("key").agg(F.collect_list("value").alias("vals"))
-    cut = book.join(wanted, "key").select("key", "phrase", "first", "vals").mapInPandas(strings, "a long, b long, key binary, off int, first long")
-    cut = scratch.put("strings", cut)
-    least = cut.groupBy("a", "b").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("a", "b", "least")
-    inner = cut.join(least.hint("shuffle_merge"), ["a", "b"]).where("first > least").groupBy("key").agg(F.collect_list("off").alias("offs"))
-    known = book.select("key", "first", F.length("phrase").alias("n")).join(inner, "key", "left")
-    placed = found.select("uid", "id", "start", "key").join(known.hint("shuffle_merge"), "key")
+    book = found.groupBy("key").agg(F.min("id").alias("first"), F.first("phrase").alias("phrase"))
+    book = scratch.put("book", book.withColumn("pid", F.monotonically_increasing_id()))
+    found = found.select("uid", "id", "start", "key").join(book.select("key", "pid", "first", F.length("phrase").alias("n")).hint("shuffle_merge"), "key")
+    placed = scratch.put("placed", found.drop("key"))
+    scratch.drop("phrases")
+    sketch = scratch.put("sketch", book.select("pid", "phrase").mapInPandas(sketches, "value long, pid long"))
+    shared = sketch.groupBy("value").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo <> hi").select("value")
+    wanted = sketch.join(shared.hint("shuffle_merge"), "value").groupBy("pid").agg(F.collect_list("value").alias("vals"))
+    runs = book.join(wanted, "pid").select("pid", "phrase", "first", "vals").mapInPandas(
+        segments, "value long, a long, b long, pid long, off int, n int, first long")
+    runs = scratch.put("runs", runs)
+    scratch.drop("sketch")
+    # equal runs are one; only the strings of different runs with one least gram are compared
+    one = F.min(F.struct("first", "pid", "off", "n")).alias("one")
+    kinds = scratch.put("kinds", runs.groupBy("value", "a", "b").agg(one).select("value", "a", "b", "one.*"))
+    mixed = kinds.groupBy("value").agg(F.count("*").alias("k")).where("k > 1").select("value")
+    several = kinds.join(mixed.hint("shuffle_merge"), "value").join(book.select("pid", "phrase").hint("shuffle_merge"), "pid").select(
+        "a", "b", "first", F.substring("phrase", F.col("off") + 1, F.col("n") + (LENGTH - 1)).alias("bytes"))
+    cut = scratch.put("strings", several.mapInPandas(strings, "x long, y long, a long, b long, at int, first long"))
+    least = cut.groupBy("x", "y").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").select("x", "y", "least")
+    older = cut.join(least.hint("shuffle_merge"), ["x", "y"]).where("first > least").groupBy("a", "b").agg(F.collect_list("at").alias("ats"))
+    firsts = kinds.select("a", "b", F.col("first").alias("least")).join(older, ["a", "b"], "left")
+    covered = runs.join(firsts.hint("shuffle_merge"), ["a", "b"])
+    all_of = F.array(F.struct(F.col("off").alias("a"), (F.col("off") + F.col("n") + (LENGTH - 1)).alias("b")))
+    part_of = F.transform("ats", lambda o: F.struct((F.col("off") + o).alias("a"), (F.col("off") + o + LENGTH).alias("b")))
+    covered = covered.select("pid", F.when(F.col("first") > F.col("least"), all_of).otherwise(part_of).alias("g")).where("g is not null")
+    inner = covered.groupBy("pid").agg(F.flatten(F.collect_list("g")).alias("offs"))
+    placed = placed.join(inner.hint("shuffle_merge"), "pid", "left")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("b")))
-    some = F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + LENGTH).alias("b")))
+    some = F.transform("offs", lambda o: F.struct((F.col("start") + o["a"]).alias("a"), (F.col("start") + o["b"]).alias("b")))
     gone = placed.select("uid", F.when(F.col("id") > F.col("first"), whole).otherwise(some).alias("g")).where("g is not null")
     gone = scratch.put("gone", gone.groupBy("uid").agg(F.flatten(F.collect_list("g")).alias("gone")))
     done = rows.join(gone, "uid", "left").select("id", "text", "gone").mapInPandas(
