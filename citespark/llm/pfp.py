@@ -3,7 +3,7 @@
 Triggers of a rolling hash cut texts into phrases that depend on content only, so copies share phrases. A phrase is kept
 with the 49 bytes after it, so that every 50-byte string lies in exactly one such phrase. Equal phrases are stored once (the
 dictionary); the parse says where each occurs. Work on strings is done on the dictionary alone: one hash (the least of the
-string's 16-grams) finds the phrases that can share a string with another phrase. Runs of strings with one such hash are
+string's 24-grams) finds the phrases that can share a string with another phrase. Runs of strings with one such hash are
 compared whole, and string by string only where runs differ, by 128-bit hashes. All that is needed of that order is which strings are
 equal and the smallest document among them, so no suffix array is sorted.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citespark.llm.common import Scratch, documents
 
-LENGTH, GRAM, PHRASE, LEAST = 50, 16, 1024, 256
+LENGTH, GRAM, PHRASE, LEAST = 50, 24, 1024, 256
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
@@ -56,7 +56,7 @@ def mix(h):
 
 
 def least_grams(data):
-    """For each 50-byte string: the least hash of its 16-grams."""
+    """For each 50-byte string: the least hash of its 24-grams."""
     import numpy as np
 
     h = mix(powers(data, FACTORS[0], (GRAM,))[GRAM])

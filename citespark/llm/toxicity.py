@@ -51,7 +51,10 @@ def sample_features(batches: Iterator):
 
 
 def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fairness: float = 5.0, rounds: int = 400) -> tuple[dict[int, float], float]:
-    """Labels and bucket lists -> (weight of each bucket, intercept). Equal feature lists of one label count once."""
+    """Labels and bucket lists -> (weight of each bucket, intercept). Equal feature lists of one label count once.
+
+    The intercept is the share of label 1, so that a text without evidence gets that share.
+    """
     import numpy as np
 
     rows = {(int(t), tuple(x)): tuple(s) for t, x, s in zip(y, xs, swapped)}
@@ -77,17 +80,16 @@ def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fair
     rb, cb = sparse([s for _, s in pairs])
     k, n, m = len(chosen), len(y), max(1, len(pairs))
     w, b = np.zeros(k), math.log(y.mean() / (1 - y.mean()))
-    m1, m2 = np.zeros(k + 1), np.zeros(k + 1)
+    m1, m2 = np.zeros(k), np.zeros(k)
     for i in range(1, rounds + 1):
         z = np.bincount(r, w[c], n) + b
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
         gap = np.bincount(rb, w[cb], len(pairs)) - np.bincount(ra, w[ca], len(pairs))
         g = np.bincount(c, err[r], k) / n + l2 * w / 100
         g += fairness / m * (np.bincount(cb, gap[rb], k) - np.bincount(ca, gap[ra], k))
-        g = np.append(g, err.mean())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         step = 0.1 * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w = w - step
     return {bk: float(w[i]) for bk, i in chosen.items()}, float(b)
 
 

@@ -1,0 +1,147 @@
+"""Each operator against brute force, on small rows with nulls, empty texts, ties, repeats and clashing column names."""
+
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from citespark.llm import bpe, embed, packing, pfp, pii, quality, simhash, spans, toxicity, warc
+from citespark.llm.common import Scratch
+
+LONG = "one two three four five six seven eight nine ten. Eleven twelve thirteen fourteen fifteen sixteen! And some more words follow here, at last."
+TEXTS = [LONG, "x " + LONG, None, "", " \n", LONG, "a b c d e f a b c d e f g\nq\nq\n", "short", "ÄÖ " * 40, LONG + " tail"]
+SCHEMA = "doc_id long, text string, n long, start string, value int"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, i, "s", 1) for i, t in enumerate(TEXTS)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def test_quality(docs, none):
+    got = {r.doc_id: r for r in quality.weak_supervision(docs).collect()}
+    for i, t in enumerate(TEXTS):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        wins = [tuple(words[k:k + 5]) for k in range(len(words) - 4)]
+        hit = {k + j for k, w in enumerate(wins) if wins.count(w) > 1 for j in range(5)}
+        assert (got[i].n_words, got[i].n_repeat_words, got[i].word_chars) == (len(words), len(hit), sum(map(len, words)))
+        assert got[i].base_failed == (len(words) < 10 or 100 * len(hit) > 20 * len(words))
+    assert got[6].n_dup_lines == 1 and got[0].kept and not got[3].kept
+    assert quality.weak_supervision(none).count() == 0
+
+
+def test_toxicity(spark):
+    rows = [(i, f"plain words number a{i % 7} b{i % 5} " + ("idiot scum women" if i % 4 == 0 else "women men nice"), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert all((got[i] >= 0.7) == bool(y) for i, _, y in rows) and got[900] == got[901] < 0.7
+
+
+def test_simhash(docs, none):
+    of = simhash.fingerprinter()
+    fp = [of(t or "")[0] for t in TEXTS]
+    comp = list(range(len(fp)))
+    for _ in fp:
+        comp = [min(comp[j] for j in range(len(fp)) if bin((fp[i] ^ fp[j]) & (2**64 - 1)).count("1") <= 2) for i in range(len(fp))]
+    assert sorted((r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(docs).collect()) == [(i, fp[i], comp[i]) for i in range(len(fp))]
+    assert simhash.keep_first(docs).columns == docs.columns and simhash.simhash_components(none).count() == 0
+
+
+def test_packing(docs, none):
+    rows = packing.pack(docs, packing.make_50k, capacity=16).collect()
+    at: dict = {}
+    for r in rows:
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in at.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 16
+    make = packing.make_50k()
+    assert sum(r.length for r in rows) == sum(len(make(t or "")) + 1 for t in TEXTS)
+    assert packing.pack(none, packing.make_50k).count() == 0
+
+
+def test_packing_search_empties_bins():
+    bins = packing.improve(packing.best_fit({6: 2, 5: 2, 4: 2, 3: 2, 2: 1}, 10), 10)
+    assert sum(bins.values()) == 4 and sum(sum(b) * n for b, n in bins.items()) == 38
+
+
+def test_pii(spark):
+    texts = ["mail a.b1@mail.example.com or A.B1@MAIL.EXAMPLE.COM, Mr Smith", "ip 10.2.3.4. card 4111111111111111", None, "", "plain", "a.b1@mail.example.com"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, entity int")
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    again = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    assert got == again and got[2] is None and got[3] == "" and got[4] == "plain"
+    assert not any(s in got[0] + got[1] for s in ("a.b1@", "Smith", "10.2.3.4", "4111111111111111"))
+    low, up = re.findall(r"\S+@[\w.]+\w", got[0])
+    assert up == low.upper() and got[5] == low and "Mr " in got[0]
+    card = [int(c) for c in re.search(r"\d{16}", got[1]).group()]
+    assert sum(x if i % 2 else (2 * x if x < 5 else 2 * x - 9) for i, x in enumerate(card)) % 10 == 0
+
+
+def test_substrings(docs, none):
+    got = {r.doc_id: r for r in pfp.remove_repeats(docs).collect()}
+    seen: set = set()
+    for i, t in enumerate(TEXTS):
+        b = (t or "").encode()
+        wins = [b[k:k + 50] for k in range(len(b) - 49)]
+        gone = {k + j for k, w in enumerate(wins) if w in seen for j in range(50)}
+        seen |= set(wins)
+        kept = bytes(c for k, c in enumerate(b) if k not in gone)
+        assert (got[i].n_removed, bytes(got[i].kept)) == (len(gone), kept)
+    assert pfp.remove_repeats(none).count() == 0
+
+
+def test_bpe(docs, none):
+    P, T = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    lib = T.Tokenizer.from_file(path)
+    for r in bpe.bpe_round_trip(docs, path).collect():
+        ids = lib.encode(TEXTS[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.bpe_round_trip(none, path).count() == 0
+
+
+def test_vectors(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((20, 24))
+    vs = [(base[i % 20] + rng.standard_normal(24) * 0.12 * (i // 20)).tolist() for i in range(80)] + [base[0].tolist(), None, [0.0] * 24, [float("nan")] * 24, []]
+    got = {r.vec_id: r for r in embed.near_vectors(spark.createDataFrame(list(enumerate(vs)), "vec_id long, embedding array<double>"), tile=8).collect()}
+    x = np.array(vs[:81]) / np.linalg.norm(np.array(vs[:81]), axis=1)[:, None]
+    link = x @ x.T >= 0.9
+    comp = np.arange(81)
+    for _ in range(81):
+        comp = np.array([comp[link[i]].min() for i in range(81)])
+    assert [got[i].n_links for i in range(81)] == (link.sum(1) - 1).tolist()
+    assert [got[i].component_id for i in range(81)] == comp.tolist()
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(81, 85))
+
+
+def test_archive(spark):
+    html = ["a" * 120, "a" * 120, None, "", "b\r\n\r\nc" * 40, "short", "short"]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, digest int")
+    got = {r.page_id: r for r in warc.parse(warc.read_archive(*warc.write_archive(pages, Scratch(spark, "t")))).collect()}
+    for i, h in enumerate(html):
+        assert got[i].payload_digest == hashlib.sha256((h or "").encode()).hexdigest() and got[i].payload_bytes == len(h or "")
+    assert [got[i].record_type for i in range(7)] == ["response", "revisit"] + ["response"] * 5 and got[1].refers_to == 0
+
+
+def test_spans(docs, none):
+    got = {r.doc_id: r for r in spans.remove_repeats(docs).collect()}
+    assert got[0].text == LONG and got[2].text is None and got[3].text == "" and got[5].text == ""
+    assert got[5].n_removed == 3 and spans.remove_repeats(none).count() == 0
+    assert spans.remove_repeats(docs).select(*docs.columns).columns == docs.columns
+    assert "".join(re.findall(spans.SENTENCE, LONG)) == LONG
+    assert docs.select(F.array_join(spans.sentence_list(F.col("text")), "").alias("t")).where("t = ''").count() == 2
