@@ -130,14 +130,15 @@ class Encoder:
                 pos -= self.size[token]
         return [self.ids[r] for r in out]
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str, word=None) -> list[int]:
+        word = word or self.word
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    out.extend(self.word(w))
+                    out.extend(word(w))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -145,6 +146,9 @@ class Encoder:
         return b" ".join([blob[o[i]:o[i + 1]] for i in ids])
 
 
+#: Pre-tokens of printable ASCII without an apostrophe, in lower case: what normalizer and pre-tokenizer make of it.
+PLAIN = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+
 #: White space of the pre-tokenizer that surely parts words: no rule or token reaches across it.
 BREAKS = re.compile("[ \n\t\r]+")
 
@@ -154,8 +158,23 @@ def digester(path: str):
     enc = Encoder(path)
     cache: dict[str, tuple[int, bytes, bytes]] = {}
 
+    words: dict[str, list[int]] = {}
+
+    def word(w: str) -> list[int]:
+        got = words.get(w)
+        if got is None:
+            got = enc.word(w)
+            if len(w) <= 64:
+                if len(words) >= CACHE:
+                    words.clear()
+                words[w] = got
+        return got
+
     def chunk(c: str) -> tuple[int, bytes, bytes]:
-        ids = enc.encode(c)
+        if c.isascii() and c.isprintable() and "'" not in c and not (enc.cut and enc.cut.search(c)):
+            ids = [i for w in PLAIN.findall(c.lower()) for i in word(w)]
+        else:
+            ids = enc.encode(c, word)
         found = (len(ids), " ".join(map(str, ids)).encode(), enc.decode(ids))
         if len(c) <= 64:
             if len(cache) >= CACHE:

@@ -37,7 +37,7 @@ def test_quality(docs, none):
 
 
 def test_toxicity(spark):
-    rows = [(i, f"plain words number a{i % 7} b{i % 5} " + ("idiot scum women" if i % 4 == 0 else "women men nice"), int(i % 4 == 0)) for i in range(200)]
+    rows = [(i, f"plain words number a{chr(97 + i % 7)} b{chr(97 + i % 5)} w{chr(97 + i % 26)}{chr(97 + i // 26)} " + ("idiot scum women" if i % 4 == 0 else "women men nice"), int(i % 4 == 0)) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, "")], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
