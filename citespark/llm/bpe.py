@@ -4,6 +4,7 @@ stand side by side after the merges; linear in the length of a word. Decoding re
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -115,10 +116,16 @@ class Encoder:
             if longest[start] < 0 or self.size[r] > self.size[longest[start]]:
                 longest[start] = r
         open_ = bytearray(b"\x01") * (n + 1)
+        size, fits = self.size, self.fits
         out, pos, token = [], 0, longest[0]
         while pos < n:
-            stop = pos + self.size[token]
-            if open_[stop] and (not out or self.compatible(out[-1], token)):
+            stop = pos + size[token]
+            good = open_[stop]
+            if good and out:
+                good = fits.get((out[-1], token))
+                if good is None:
+                    good = self.compatible(out[-1], token)
+            if good:
                 out.append(token)
                 pos = stop
                 token = longest[pos] if pos < n else -1
@@ -127,18 +134,17 @@ class Encoder:
             else:
                 open_[pos] = 0
                 token = out.pop()
-                pos -= self.size[token]
+                pos -= size[token]
         return [self.ids[r] for r in out]
 
-    def encode(self, text: str, word=None) -> list[int]:
-        word = word or self.word
+    def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for part in self.cut.split(text) if self.cut else [text]:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
                 for w, _ in self.pre.pre_tokenize_str(self.normalizer.normalize_str(part)):
-                    out.extend(word(w))
+                    out.extend(self.word(w))
         return out
 
     def decode(self, ids: list[int]) -> bytes:
@@ -146,51 +152,50 @@ class Encoder:
         return b" ".join([blob[o[i]:o[i + 1]] for i in ids])
 
 
-#: Pre-tokens of printable ASCII without an apostrophe, in lower case: what normalizer and pre-tokenizer make of it.
-PLAIN = re.compile("[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable ASCII without an apostrophe and of accented Latin letters in one code point each: normalizing only
+#: puts them in lower case, and PLAIN gives their pre-tokens, but for the spelling of bytes.
+SIMPLE = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 #: White space of the pre-tokenizer that surely parts words: no rule or token reaches across it.
 BREAKS = re.compile("[ \n\t\r]+")
 
 
+@functools.lru_cache(maxsize=2)
 def digester(path: str):
-    """text -> (n_tokens, ids_sha256, decoded_sha256)"""
+    """text -> (n_tokens, ids_sha256, decoded_sha256). Made once in a worker process; its caches outlive a task, with a bound."""
     enc = Encoder(path)
+    names = {i: str(i).encode() for i in enc.ids}
+    spelled = {c: enc.pre.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # letters of bytes
     cache: dict[str, tuple[int, bytes, bytes]] = {}
-
-    words: dict[str, list[int]] = {}
-
-    def word(w: str) -> list[int]:
-        got = words.get(w)
-        if got is None:
-            got = enc.word(w)
-            if len(w) <= 64:
-                if len(words) >= CACHE:
-                    words.clear()
-                words[w] = got
+    words: dict[str, tuple[int, bytes, bytes]] = {}
+    cut = enc.cut.search if enc.cut else lambda c: None
+
+    def store(table: dict, key: str, got: tuple) -> tuple:
+        if len(key) <= 64:
+            if len(table) >= CACHE:
+                table.clear()
+            table[key] = got
         return got
 
+    def word(w: str) -> tuple[int, bytes, bytes]:
+        ids = enc.word(w if w.isascii() else w.translate(spelled))
+        return store(words, w, (len(ids), b" ".join([names[i] for i in ids]), enc.decode(ids)))
+
     def chunk(c: str) -> tuple[int, bytes, bytes]:
-        if c.isascii() and c.isprintable() and "'" not in c and not (enc.cut and enc.cut.search(c)):
-            ids = [i for w in PLAIN.findall(c.lower()) for i in word(w)]
+        if SIMPLE.fullmatch(c) and not cut(c):
+            got = [words.get(w) or word(w) for w in PLAIN.findall(c.lower())]
+            found = got[0] if len(got) == 1 else (sum([g[0] for g in got]), b" ".join([g[1] for g in got]), b" ".join([g[2] for g in got]))
         else:
-            ids = enc.encode(c, word)
-        found = (len(ids), " ".join(map(str, ids)).encode(), enc.decode(ids))
-        if len(c) <= 64:
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[c] = found
-        return found
+            ids = enc.encode(c)
+            found = (len(ids), " ".join(map(str, ids)).encode(), enc.decode(ids))
+        return store(cache, c, found)
 
     def of(text: str) -> tuple:
-        n, ids, back = 0, [], []
-        for c in BREAKS.split(text):
-            got = c and (cache.get(c) or chunk(c))
-            if got and got[0]:
-                n += got[0]
-                ids.append(got[1])
-                back.append(got[2])
-        return n, hashlib.sha256(b" ".join(ids)).hexdigest(), hashlib.sha256(b" ".join(back)).hexdigest()
+        got = [cache.get(c) or chunk(c) for c in BREAKS.split(text) if c]
+        got = [g for g in got if g[0]]
+        ids, back = hashlib.sha256(b" ".join([g[1] for g in got])), hashlib.sha256(b" ".join([g[2] for g in got]))
+        return sum([g[0] for g in got]), ids.hexdigest(), back.hexdigest()
 
     return of
 
