@@ -33,8 +33,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "spans")
     docs = docs.drop("n_sentences", "n_removed")
-    rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    listed = rows.select("_uid", "_id", sentence_list(F.col("_text")).alias("_s"))
+    rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
+    id_, text_ = F.col("_row").getField(id_col), F.col("_row").getField(text_col)
+    listed = rows.select("_uid", id_.alias("_id"), sentence_list(text_).alias("_s"))
     normed = F.filter(F.transform("_s", lambda s, i: F.struct(i.alias("i"), norm(s).alias("s"))), lambda x: x["s"] != "")
     hashed = listed.select("_uid", "_id", F.transform(normed, lambda x: F.struct(
         x["i"].alias("i"), F.length(x["s"]).alias("n"), F.xxhash64(x["s"]).alias("a"), F.xxhash64(F.lit(1), x["s"]).alias("b"))).alias("_h"))
@@ -48,9 +49,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = runs.join(again.hint("shuffle_merge"), ["a", "b"]).where((F.col("_uid") != F.col("first._uid")) | (F.col("start") != F.col("first.start")))
     gone = later.groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
     gone = scratch.put("gone", gone.select("_uid", F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["stop"])))).alias("_gone")))
-    joined = rows.join(gone, "_uid", "left").select("*", sentence_list(F.col("_text")).alias("_s"))
+    joined = rows.join(gone.hint("shuffle_merge"), "_uid", "left").select("*", sentence_list(text_).alias("_s"))
     kept = F.array_join(F.filter(F.col("_s"), lambda s, i: ~F.array_contains(F.col("_gone"), i)), "")
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept)
+    text = F.when(F.col("_gone").isNull(), text_).otherwise(kept)
     names = [text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*names, F.size("_s").alias("n_sentences"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
 
