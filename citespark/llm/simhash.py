@@ -7,6 +7,9 @@ blocks; vectors within distance 2 differ in at most two blocks, so they share on
 by four whole blocks. Cells with one fingerprint go; the others are searched for Manhattan distance <= 2 and then
 verified by exact Hamming distance, and return a spanning forest instead of pairs. A cell with more than ``cell_rows``
 different fingerprints is dealt out anew by exact masks of two bits, whose groups are cliques and return stars.
+
+The stage of the pipeline does not use fingerprints: texts of similarity 0.8 differ in about ten of 64 bits. It finds
+candidates by bands of minimum hashes of five-word shingles and verifies each by its exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -140,10 +143,118 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of docs that are the first of their component: one row for each, the smallest doc_id (null ids count as one)."""
-    found = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+NEAR_WORDS, BANDS, BAND_ROWS, STARS = 5, 20, 4, 3
+
+
+def shingle_set(text: str):
+    """text -> sorted different 64-bit hashes of its shingles of NEAR_WORDS words, or of the whole text if it is shorter."""
+    import numpy as np
+    import xxhash
+
+    w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    if not w:
+        return np.empty(0, dtype=np.uint64)
+    grams = [b" ".join(w)] if len(w) < NEAR_WORDS else map(b" ".join, zip(*(w[i:] for i in range(NEAR_WORDS))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64))
+
+
+def sketcher():
+    """text -> (k1, k2: 128-bit hash of the shingle set; n: its size; bands: BANDS hashes of BAND_ROWS minima each)"""
+    import numpy as np
+    import xxhash
+
+    rng = np.random.default_rng(SEED)
+    odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mask = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+    def of(text: str) -> tuple:
+        s = shingle_set(text)
+        k = xxhash.xxh3_128_intdigest(s.tobytes())
+        bands = []
+        if len(s):
+            least = np.array([((s ^ m) * a).min() for a, m in zip(odd, mask)], dtype=np.uint64).reshape(BANDS, BAND_ROWS)
+            bands = [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
+        return signed(k >> 64), signed(k & ((1 << 64) - 1)), len(s), bands
+
+    return of
+
+
+def alike(batches: Iterator):
+    """Rows (a, b, ta, tb) -> (a, b) of those whose texts have a Jaccard similarity of 0.8 or more."""
+    import numpy as np
+
+    for pdf in batches:
+        sets: dict = {}
+        for t in (*pdf["ta"], *pdf["tb"]):
+            if t not in sets:
+                sets[t] = shingle_set(t)
+        good = []
+        for ta, tb in zip(pdf["ta"], pdf["tb"]):
+            x, y = sets[ta], sets[tb]
+            good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
+        yield pdf.loc[np.array(good, dtype=bool), ["a", "b"]]
+
+
+def near_links(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """nodes (node, n, bands) with different shingle sets, texts (node, text) -> (node, component) of the links of Jaccard >= 0.8.
+
+    Candidates share a bucket, that is one band. In a bucket, members are compared with one of them (in STARS rounds, each with
+    another one); then every two that are not yet in one component are compared, so that no candidate pair is passed over.
+    """
+    cells = nodes.select("node", "n", F.posexplode("bands").alias("band", "cell"))
+    sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # buckets with the same members count once
+    once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "cell")).alias("k")).select("k.band", "k.cell")
+    left = scratch.put("buckets", cells.join(once, ["band", "cell"]).select("band", "cell", "node", "n", F.col("node").alias("component")))
+    links_, cc = None, None
+    for r in range(STARS + 1):
+        size = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node"), F.col("n"), F.col("component"))
+        if r < STARS:
+            other = left.groupBy("band", "cell").agg(F.min(size).alias("c")).select("band", "cell", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+        else:
+            other = left.select("band", "cell", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+        pairs = left.join(other, ["band", "cell"]).where("component <> ca and 5 * least(n, na) >= 4 * greatest(n, na)")
+        if r == STARS:
+            pairs = pairs.where("a < node")
+        pairs = scratch.put(f"pairs{r}", pairs.select("a", F.col("node").alias("b")).distinct())
+        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("shuffle_merge"), "b").join(
+            texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("shuffle_merge"), "a")
+        found = scratch.put(f"links{r}", both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"))
+        links_ = found if links_ is None else links_.unionByName(found)
+        cc = components(links_, scratch, f"near{r}_")
+        if r < STARS:
+            now = left.drop("component").join(cc.hint("shuffle_merge"), "node", "left").select("band", "cell", "node", "n", F.coalesce("component", "node").alias("component"))
+            mixed = now.groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "cell")
+            left = scratch.put(f"left{r}", now.join(mixed, ["band", "cell"]))
+            if left.isEmpty():
+                break
+    return cc
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns kept, with one row of each component of near copies: Jaccard similarity of the sets of 5-word
+    shingles >= 0.8, and what is reachable by it. The row is the one with the smallest id (null last), then the smallest
+    hash of the text; rows that are equal in both count as copies like any other.
+
+    Null and empty texts and texts of white space are copies of each other. No rows give no rows. Candidates come from
+    BANDS bands of BAND_ROWS minima: a pair of similarity 0.8 is missed with a chance of (1 - 0.8 ** 4) ** 20 = 0.00003.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
+    id_, text_ = F.col("_row").getField(id_col), F.col("_row").getField(text_col)
+    plain = rows.select("_uid", id_.alias("_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("_h"), text_.alias("_text"))
+    keep = ["_uid", "_id", "_h"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
+    sets = scratch.put("sets", plain.mapInPandas(per_row(sketcher, keep, "_text", ["k1", "k2", "n", "bands"]), schema + ", k1 bigint, k2 bigint, n bigint, bands array<bigint>"))
+    order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_h", "_uid")
+    one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first")).select(F.col("first._uid").alias("node"), "first")
+    one = scratch.put("one", one)
+    nodes = one.join(sets.select(F.col("_uid").alias("node"), "n", "bands").hint("shuffle_merge"), "node").where("n > 0").select("node", "n", "bands")
+    texts = rows.select(F.col("_uid").alias("node"), text_.alias("text"))
+    cc = near_links(nodes, texts, scratch)
+    groups = one.join(cc.hint("shuffle_merge"), "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._uid").alias("_uid"))
+    return rows.join(kept.hint("shuffle_merge"), "_uid", "left_semi").select("_row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

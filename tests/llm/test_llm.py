@@ -145,3 +145,28 @@ def test_spans(docs, none):
     assert spans.remove_repeats(docs).select(*docs.columns).columns == docs.columns
     assert "".join(re.findall(spans.SENTENCE, LONG)) == LONG
     assert docs.select(F.array_join(spans.sentence_list(F.col("text")), "").alias("t")).where("t = ''").count() == 2
+
+
+def test_stage_drops_near_copies(spark):
+    import random
+
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(6)]
+    texts = []
+    for words in base:
+        for k in range(7):  # k words set in at random places
+            w = list(words)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (7, texts[3]), (7, texts[3]), (None, texts[9]), (None, "alone here"), (None, "alone here")]
+    sets = [frozenset(tuple((t or "").split()[k:k + 5]) for k in range(max(1, len((t or "").split()) - 4))) for _, t in rows]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        comp = [min(comp[j] for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) for i in range(len(rows))]
+    best: dict = {}
+    for (i, _), c in zip(rows, comp):
+        best[c] = min(best.get(c, (True, 0)), (i is None, i or 0))
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(best.values())
+    assert len(best) <= len(rows) - 15
