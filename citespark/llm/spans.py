@@ -4,10 +4,13 @@ whole corpus; sentences inside a run that occurs earlier, in document order, are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm.common import SPACES, Scratch, documents
+from citespark.llm.common import SPACES, Scratch, documents, per_row
 
 #: A sentence ends with its full stops or line ends; the pieces put together are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
@@ -56,6 +59,104 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select(*names, F.size("_s").alias("n_sentences"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
 
 
+def sequence_hashes(items, stops, starts, seed: int):
+    """64-bit hashes of items[start:stop] (uint64 arrays), from one pass over the items."""
+    import numpy as np
+
+    base = (0x9E3779B97F4A7C15 + 2 * seed) & ((1 << 64) - 1) | 1
+    def powers(x: int):
+        return np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(items), x, dtype=np.uint64))), dtype=np.uint64)
+
+    power, inverse = powers(base), powers(pow(base, -1, 1 << 64))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(items * power[:-1], dtype=np.uint64)))
+    return (total[stops] - total[starts]) * inverse[starts]
+
+
+def sentence_runs():
+    """text -> (start, stop, a, b): every run of sentences, from each start and up to each end, that is as short as RUN and
+    MIN_CHARS let it be. start and stop are places of sentences (the last one counts in), a and b hashes of what it says."""
+    import re
+
+    import numpy as np
+    import xxhash
+
+    cut, blank, digest = re.compile(SENTENCE), str.maketrans("", "", SPACES), xxhash.xxh3_128_intdigest
+
+    def of(text: str) -> tuple:
+        said = [(i, s) for i, s in enumerate(x.translate(blank).lower() for x in cut.findall(text)) if s]
+        n = len(said)
+        if n < RUN:
+            return [], [], [], []
+        ends = np.concatenate(([0], np.cumsum([len(s) for _, s in said])))
+        every = np.arange(n)
+        last = np.maximum(every + RUN, np.searchsorted(ends, ends[:-1] + MIN_CHARS))  # from each start: one past the end
+        first = np.minimum(every + 1 - RUN, np.searchsorted(ends, ends[1:] - MIN_CHARS, side="right") - 1)  # up to each end
+        forth, back = last <= n, first >= 0
+        runs = np.unique(np.concatenate((np.stack((every[forth], last[forth]), 1), np.stack((first[back], every[back] + 1), 1))), axis=0)
+        start, stop = runs[:, 0], runs[:, 1]
+        at, h = np.array([i for i, _ in said]), [digest(s.encode("utf-8", "surrogatepass")) for _, s in said]
+        a = sequence_hashes(np.array([x & ((1 << 64) - 1) for x in h], dtype=np.uint64), stop, start, 0)
+        b = sequence_hashes(np.array([x >> 64 for x in h], dtype=np.uint64), stop, start, 1)
+        return at[start].tolist(), at[stop - 1].tolist(), a.view(np.int64).tolist(), b.view(np.int64).tolist()
+
+    return of
+
+
+ARRAYS = "start array<int>, stop array<int>, a array<bigint>, b array<bigint>"
+
+
+def said_before(listed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """listed (_uid, _id, ARRAYS) -> (_uid, <name>: array of (start, stop) of the runs that are not the first of their kind)."""
+    runs = listed.select("_uid", "_id", F.explode(F.arrays_zip("start", "stop", "a", "b")).alias("r")).select("_uid", "_id", "r.*")
+    order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_uid", "start")
+    again = runs.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = runs.join(again.hint("shuffle_merge"), ["a", "b"]).where((F.col("_uid") != F.col("first._uid")) | (F.col("start") != F.col("first.start")))
+    return scratch.put(name, later.groupBy("_uid").agg(F.collect_set(F.struct("start", "stop")).alias(name)))
+
+
+def per_text(make, rows: DataFrame, text: Column, id_: Column) -> DataFrame:
+    """rows (_uid, ...) -> (_uid, _id, ARRAYS) by make()(text)."""
+    plain = rows.select("_uid", id_.alias("_id"), text.alias("_text"))
+    return plain.mapInPandas(per_row(make, ["_uid", "_id"], "_text", ["start", "stop", "a", "b"]), f"_uid bigint, _id {plain.schema['_id'].dataType.simpleString()}, {ARRAYS}")
+
+
+def cutter():
+    """text, places of sentences -> the text without them."""
+    import re
+
+    cut = re.compile(SENTENCE)
+
+    def of(text: str, sentences) -> str:
+        gone = {i for s in sentences for i in range(s["start"], s["stop"] + 1)}
+        return "".join(s for i, s in enumerate(cut.findall(text)) if i not in gone)
+
+    return of
+
+
+def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns kept, with the text without what an earlier text (or an earlier place of it) says too.
+
+    Removed is every passage of RUN whole sentences or more that has MIN_CHARS characters or more without white space,
+    however short its sentences are. Order, nulls and repeated rows are as in remove_repeats.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
+    id_, text_ = F.col("_row").getField(id_col), F.col("_row").getField(text_col)
+    listed = scratch.put("runs", per_text(sentence_runs, rows, text_, id_))
+    gone = said_before(listed, scratch, "sentences")
+    scratch.drop("runs")
+    cut = F.pandas_udf(cut_texts, "string")
+    joined = rows.join(gone.hint("shuffle_merge"), "_uid", "left")
+    text = F.when(F.col("sentences").isNull(), text_).otherwise(cut(text_, "sentences"))
+    return joined.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))
+
+
+def cut_texts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    of = cutter()
+    for texts, *gone in batches:
+        yield pd.Series([t if t is None or all(g is None for g in gs) else of(t, *([] if g is None else g for g in gs)) for t, *gs in zip(texts, *gone)], dtype=object)
+
+
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"),
@@ -63,7 +164,7 @@ def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return remove_repeats(docs).select(*docs.columns)
+    return remove_passages(docs)
 
 
 ORACLE = rf"""

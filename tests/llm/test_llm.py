@@ -170,3 +170,29 @@ def test_stage_drops_near_copies(spark):
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(best.values())
     assert len(best) <= len(rows) - 15
+
+
+def sentence_brute(rows):
+    """Every passage of two sentences or more, of 40 characters or more, that is said earlier, goes."""
+    seen, out = set(), {}
+    for key, text in rows:
+        cut = re.findall(spans.SENTENCE, text or "")
+        said = [(i, re.sub(r"\s", "", s).lower()) for i, s in enumerate(cut) if s.strip()]
+        gone = set()
+        for a in range(len(said)):
+            for b in range(a + 2, len(said) + 1):
+                if len("".join(s for _, s in said[a:b])) >= 40:
+                    run = tuple(s for _, s in said[a:b])
+                    gone |= {i for i, _ in said[a:b]} if run in seen else set()
+                    seen.add(run)
+        out[key] = text if text is None else "".join(s for i, s in enumerate(cut) if i not in gone)
+    return out
+
+
+def test_stage_removes_runs_of_short_sentences(spark, none):
+    shout = " ".join(f"{w}!!" for w in "HE THIS ATSH ERIN AT NTREOU ANRE ERRE ONBLE REHA ONSH THTH HEES HE ANND ANAN THEDEA THAT TO HEON OF OU A IS ES".split())
+    rows = [(0, shout), (1, "First a line of its own. " + shout + " Last a line of its own."), (2, None), (3, ""), (4, LONG), (5, "Yes. No. " + LONG), (6, "Yes. No. Well.\nYes. No. Well."), (7, "One that has thirty characters. Ab. Two that has thirty characters."),
+            (8, "Other words. One that has thirty characters. Ab. Two that has thirty characters. More words.")]
+    got = {r.doc_id: r.text for r in spans.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()}
+    assert got == sentence_brute(rows) and "HEON" not in got[1]
+    assert spans.stage(spark, none, "").count() == 0
