@@ -5,12 +5,13 @@ whole corpus; sentences inside a run that occurs earlier, in document order, are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm.common import SPACES, Scratch, documents, per_row
+from citespark.llm.common import SPACES, WORD, Scratch, documents, per_row
 
 #: A sentence ends with its full stops or line ends; the pieces put together are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
@@ -102,6 +103,58 @@ def sentence_runs():
     return of
 
 
+#: Words of a passage that goes wherever it lies in its sentences; GRAM words are sampled so that each PASSAGE holds a sample.
+PASSAGE, GRAM = 25, 12
+
+
+def word_hashes(text: str):
+    """The words (without case) as uint64 hashes of two kinds, and their (start, stop) in the text."""
+    import re
+
+    import numpy as np
+    import xxhash
+
+    found = [(m.start(), m.end()) for m in re.finditer(WORD, text)]
+    low = [text[a:b].lower().encode("utf-8", "surrogatepass") for a, b in found]
+    h = [np.fromiter(map(xxhash.xxh64_intdigest, low, repeat(seed)), dtype=np.uint64, count=len(low)) for seed in (0, 1)]
+    return h[0], h[1], found
+
+
+def word_samples():
+    """text -> (places, hashes) of runs of GRAM words: in each run of PASSAGE words the one with the smallest hash. Equal
+    passages have equal samples."""
+    import numpy as np
+
+    def of(text: str) -> tuple:
+        h, _, found = word_hashes(text)
+        if len(found) < PASSAGE:
+            return [], []
+        start = np.arange(len(found) - GRAM + 1)
+        grams = sequence_hashes(h, start + GRAM, start, 0)
+        windows = np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - GRAM + 1)
+        at = np.unique(np.argmin(windows, axis=1) + np.arange(len(windows)))
+        return at.tolist(), grams[at].view(np.int64).tolist()
+
+    return of
+
+
+def word_runs(batches: Iterator):
+    """(_uid, _id, _text, at: places of samples that lie in other places too) -> (_uid, _id, ARRAYS): every run of PASSAGE
+    words that holds one of them. Here start and stop are places of words."""
+    import numpy as np
+
+    for pdf in batches:
+        out = []
+        for text, at in zip(pdf["_text"], pdf["at"]):
+            a, b, found = word_hashes(text)
+            start = np.unique((np.asarray(at)[:, None] - np.arange(PASSAGE - GRAM + 1)).ravel())
+            start = start[(start >= 0) & (start + PASSAGE <= len(found))]
+            stop = start + PASSAGE
+            out.append((start.tolist(), (stop - 1).tolist(), sequence_hashes(a, stop, start, 0).view(np.int64).tolist(), sequence_hashes(b, stop, start, 1).view(np.int64).tolist()))
+        made = pd.DataFrame(out, columns=["start", "stop", "a", "b"], index=pdf.index)
+        yield pd.concat([pdf[["_uid", "_id"]], made], axis=1)
+
+
 ARRAYS = "start array<int>, stop array<int>, a array<bigint>, b array<bigint>"
 
 
@@ -121,14 +174,29 @@ def per_text(make, rows: DataFrame, text: Column, id_: Column) -> DataFrame:
 
 
 def cutter():
-    """text, places of sentences -> the text without them."""
+    """text, places of sentences and of words (None or empty: none) -> the text without them. With a word goes the white space after it."""
     import re
 
     cut = re.compile(SENTENCE)
 
-    def of(text: str, sentences) -> str:
-        gone = {i for s in sentences for i in range(s["start"], s["stop"] + 1)}
-        return "".join(s for i, s in enumerate(cut.findall(text)) if i not in gone)
+    def of(text: str, sentences, words) -> str:
+        gone = bytearray(len(text))
+        if sentences is not None and len(sentences):
+            places = [m.span() for m in cut.finditer(text)]
+            for s in sentences:
+                a, b = places[s["start"]][0], places[s["stop"]][1]
+                gone[a:b] = b"\1" * (b - a)
+        if words is not None and len(words):
+            firsts = [m.start() for m in re.finditer(WORD, text)] + [len(text)]
+            for w in words:
+                a, b = firsts[w["start"]], firsts[w["stop"] + 1]
+                gone[a:b] = b"\1" * (b - a)
+            for m in re.finditer(b"\1+", bytes(gone)):  # words before and after a gap stay two
+                a, b = m.span()
+                if 0 < a and b < len(text) and text[a - 1] not in SPACES and text[b] not in SPACES:
+                    k = max(text.rfind(c, a, b) for c in SPACES)
+                    gone[k] *= k < 0
+        return "".join(c for c, g in zip(text, gone) if not g)
 
     return of
 
@@ -137,7 +205,9 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """docs, all columns kept, with the text without what an earlier text (or an earlier place of it) says too.
 
     Removed is every passage of RUN whole sentences or more that has MIN_CHARS characters or more without white space,
-    however short its sentences are. Order, nulls and repeated rows are as in remove_repeats.
+    however short its sentences are, and every passage of PASSAGE words or more, wherever it lies in its sentences. Both are
+    exact: samples only choose the texts and places whose runs of words are compared. Order, nulls and repeated rows are
+    as in remove_repeats.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
@@ -145,16 +215,29 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = scratch.put("runs", per_text(sentence_runs, rows, text_, id_))
     gone = said_before(listed, scratch, "sentences")
     scratch.drop("runs")
+    plain = rows.select("_uid", text_.alias("_text"))
+    samples = plain.mapInPandas(per_row(word_samples, ["_uid"], "_text", ["at", "h"]), "_uid bigint, at array<int>, h array<bigint>").where(F.size("at") > 0)
+    samples = scratch.put("samples", samples)
+    each = samples.select("_uid", F.explode(F.arrays_zip("at", "h")).alias("s")).select("_uid", "s.at", "s.h")
+    again = each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    found = each.join(again.hint("shuffle_merge"), "h").groupBy("_uid").agg(F.collect_list("at").alias("at"))
+    found = scratch.put("found", found)
+    scratch.drop("samples")
+    both = rows.select("_uid", id_.alias("_id"), text_.alias("_text")).join(found.hint("shuffle_merge"), "_uid")
+    listed = scratch.put("windows", both.mapInPandas(word_runs, f"_uid bigint, _id {docs.schema[id_col].dataType.simpleString()}, {ARRAYS}"))
+    words = said_before(listed, scratch, "words")
+    scratch.drop("windows", "found")
     cut = F.pandas_udf(cut_texts, "string")
+    gone = gone.join(words.hint("shuffle_merge"), "_uid", "full")
     joined = rows.join(gone.hint("shuffle_merge"), "_uid", "left")
-    text = F.when(F.col("sentences").isNull(), text_).otherwise(cut(text_, "sentences"))
+    text = F.when(F.col("sentences").isNull() & F.col("words").isNull(), text_).otherwise(cut(text_, "sentences", "words"))
     return joined.select(*(text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))
 
 
 def cut_texts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     of = cutter()
     for texts, *gone in batches:
-        yield pd.Series([t if t is None or all(g is None for g in gs) else of(t, *([] if g is None else g for g in gs)) for t, *gs in zip(texts, *gone)], dtype=object)
+        yield pd.Series([t if t is None or all(g is None for g in gs) else of(t, *gs) for t, *gs in zip(texts, *gone)], dtype=object)
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

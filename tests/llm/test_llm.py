@@ -196,3 +196,26 @@ def test_stage_removes_runs_of_short_sentences(spark, none):
     got = {r.doc_id: r.text for r in spans.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()}
     assert got == sentence_brute(rows) and "HEON" not in got[1]
     assert spans.stage(spark, none, "").count() == 0
+
+
+def test_stage_removes_passages_inside_sentences(spark):
+    import random
+
+    rng = random.Random(5)
+    say = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    long, short = say(60), say(24)
+    rows = [(0, " ".join(say(30) + long + say(30) + short)), (1, " ".join(say(9) + long + say(12) + short + say(3)) + "."), (2, " ".join(w.upper() for w in long) + "."),
+            (3, None), (4, ""), (5, "\n".join(say(200))), (6, " ".join(long[:40] + say(2) + long[10:34] + long[20:60]))]
+    seen, want = set(), {}
+    for key, text in rows:
+        found = [(m.start(), m.group().lower()) for m in re.finditer(spans.WORD, text or "")]
+        runs = [tuple(w for _, w in found[k:k + 25]) for k in range(len(found) - 24)]
+        gone = set()
+        for k, run in enumerate(runs):
+            gone |= set(range(k, k + 25)) if run in seen else set()
+            seen.add(run)
+        ends = [a for a, _ in found[1:]] + [len(text or "")]
+        want[key] = text if text is None else "".join(text[a:b] for k, ((a, _), b) in enumerate(zip(found, ends)) if k not in gone)
+    got = {r.doc_id: r.text for r in spans.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()}
+    assert got == want
+    assert long[30] not in got[1] and got[1].split()[21:45] == short and got[2] == long[59].upper() + "."
