@@ -2,8 +2,9 @@
 
 One pattern finds the entities. Upper and lower case forms of an entity are one entity (coreference); the surrogate takes
 over the case of each place. Digits become digits, letters become letters of the same script, punctuation and the last
-label of a domain stay; addresses stay addresses, card numbers keep a valid check digit, and names after a form of address
-keep its gender. Surrogates of the whole corpus are compared: none is shared by two entities and none is itself an entity.
+label of a domain stay; addresses stay addresses, card numbers keep a valid check digit. Names are found after a form of
+address, which stays; each name has one surrogate whatever stands before it, also where it stands alone in the same text.
+Surrogates of the whole corpus are compared: none is shared by two entities and none is itself an entity.
 Only DataFrame functions.
 """
 
@@ -15,15 +16,25 @@ from pyspark.sql import functions as F
 from citespark.llm.common import Scratch, documents
 from citespark.llm.quality import let
 
+TITLES = "Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Sra|Sr"
+FORM = rf"(?:(?:{TITLES})\.? ){{1,3}}"
+#: One name (O'Brien, Jean-Pierre; not the 's after it), and what may stand before it.
+PART = rf"(?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}(?:[\p{{L}}\p{{M}}]|['\u2019]\p{{Lu}}|-\p{{L}}){{1,40}}"
+BEFORE = r"(?:(?:\p{Lu}\.|von|van|de|der|den|la|le|du|di|da|del) ){0,3}"
 KINDS = {
     "email": r"[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){1,8}",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])",
-    "phone": r"(?<!\d)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)",
+    "phone": "|".join((
+        r"(?<!\d)\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}(?!\d)",
+        r"(?<![\d+])\+(?=(?:[ .()/-]{0,2}\d){8,15}(?![ .-]?\d))\d{1,4}(?:[ .-]?\(\d{1,4}\))?(?:[ ./-]?\d{1,12}){1,6}(?!\d)",
+        r"(?<![\d)])\(\d{2,5}\)[ .-]?\d{3,4}[ .-]?\d{3,5}(?!\d)",
+        r"(?<![\d.+-])(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])",
+        r"(?<!\d)0\d(?:[ .-]\d{2}){4}(?!\d)",
+        r"(?<![\d.,])0\d{1,4}[ /-]\d{5,8}(?!\d)")),
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{12,19}(?!\d)",
-    "male": r"(?<!\p{L})(?:Mr|Herr|Sr)\.? \p{Lu}\p{L}{1,40}",
-    "female": r"(?<!\p{L})(?:Mrs|Ms|Frau|Mme|Sra)\.? \p{Lu}\p{L}{1,40}",
+    "card": r"(?<!\d)(?:\d{4}[ -]){3}\d{4}(?!\d)|(?<!\d)\d{4}[ -]\d{6}[ -]\d{5}(?!\d)|(?<!\d)\d{12,19}(?!\d)",
+    "name": rf"(?<!\p{{L}}){FORM}{BEFORE}{PART}(?: {BEFORE}{PART}){{0,3}}",
 }
 ENTITY = "|".join(KINDS.values())
 LATIN, GREEK, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя"
@@ -37,6 +48,16 @@ def kind_of(entity: Column) -> Column:
     return out
 
 
+def titled(entity: Column) -> Column:
+    return entity.rlike(f"^{FORM}")
+
+
+def name_parts(entity: Column) -> Column:
+    """The names after the form of address; no other entity has any."""
+    rest = F.regexp_replace(entity, f"^{FORM}", "")
+    return F.when(titled(entity), F.regexp_extract_all(rest, F.lit(f"({PART})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+
+
 def canon(entity: Column) -> Column:
     return F.lower(entity)
 
@@ -63,7 +84,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         email = F.concat(chars(F.substring(entity, F.lit(1), F.length(entity) - F.length(tail))), tail)
         secret = F.array_join(F.transform(F.split(entity, ""), lambda c, i: F.substring(h, F.pmod(i, F.lit(128)).cast("int") + 1, F.lit(1))), "")
         ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(byte(i * 2), F.lit(254)) + 1).cast("string")), ".")
-        front = F.regexp_extract(entity, r"^(\D*\d{1,3}(?=\D)|)", 1)  # the country stays
+        front = F.regexp_extract(entity, r"^(\+\d{1,3}(?=\D)|\d{1,3}(?=[ .-]?\()|0|)", 1)  # the country or the leading zero stays
         phone = F.concat(front, chars(F.substring(entity, F.length(front) + 1, F.length(entity))))
         body = chars(F.substring(entity, F.lit(1), F.length(entity) - 1))
         digits = F.split(F.reverse(F.translate(body, " -", "")), "")
@@ -72,7 +93,7 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
         card = F.concat(body, F.pmod(F.lit(10) - F.pmod(luhn, F.lit(10)), F.lit(10)).cast("string"))
         stem = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3) + attempt), lambda i: F.get(
             F.array(*map(F.lit, SYLLABLES)), F.pmod(byte(i), F.lit(len(SYLLABLES))))), "")
-        name = F.concat(F.regexp_extract(entity, "^([^ ]* )", 1), stem, F.when(kind == "male", "n").otherwise("na"))
+        name = F.concat(stem, F.lit("n"))
         return (F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "phone", phone)
                 .when(kind == "ssn", chars(entity)).when(kind == "card", card).otherwise(name))
 
@@ -111,24 +132,41 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     """
     scratch = Scratch(docs.sparkSession, "pii")
     docs = docs.drop("n_entities")
-    found = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(ENTITY), F.lit(0))
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.regexp_extract_all(whole, F.lit(ENTITY), F.lit(0))
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row"), F.col(text_col).alias("_text"), found.alias("_found"))
+    rows = rows.withColumn("_names", F.array_distinct(F.flatten(F.transform("_found", name_parts))))
+    # a text with names is read again, for the places that hold one of its names alone
+    bare = F.array_join(F.array_sort(F.array_union("_names", F.transform("_names", F.upper)), lambda a, b: F.length(b) - F.length(a)), "|")
+    again = F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), bare, F.lit(r")(?![\p{L}\p{M}])"))
+    rows = rows.withColumn("_again", F.when(F.size("_names") > 0, again))
+    rows = rows.withColumn("_all", F.when(F.col("_again").isNull(), F.col("_found")).otherwise(F.regexp_extract_all("_text", "_again", F.lit(0))))
     rows = scratch.put("docs", rows)
     some = rows.where(F.size("_found") > 0)
-    places = scratch.put("places", some.select("_uid", F.explode(F.array_distinct(F.transform("_found", canon))).alias("entity")))
-    kinds = some.select(F.explode("_found").alias("e")).select(canon(F.col("e")).alias("entity"), kind_of(F.col("e")).alias("kind"))
-    given = assign(kinds.groupBy("entity").agg(F.min("kind").alias("kind")), scratch, key)
-    known = places.join(given.hint("shuffle_merge"), "entity").groupBy("_uid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_new"))
+    keys = F.flatten(F.transform("_found", lambda e: F.when(titled(e), F.transform(name_parts(e), lambda p: F.struct(F.lit("name").alias("kind"), canon(p).alias("entity"))))
+                                 .otherwise(F.array(F.struct(kind_of(e).alias("kind"), canon(e).alias("entity"))))))
+    places = scratch.put("places", some.select("_uid", F.explode(F.array_distinct(keys)).alias("k")).select("_uid", "k.*"))
+    given = assign(places.groupBy("entity").agg(F.min("kind").alias("kind")), scratch, key)
+    known = places.select("_uid", "entity").distinct().join(given.hint("shuffle_merge"), "entity").groupBy("_uid").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_new"))
     changed = some.join(known, "_uid")
-    new = F.transform("_found", lambda e: same_case(F.element_at("_new", canon(e)), e))
-    parts = F.split("_text", ENTITY, -1)
+
+    def replaced(e: Column) -> Column:
+        """A name for each name; what stands before and between them stays."""
+        new = F.element_at("_new", canon(e))
+        return F.when(new.isNull(), e).otherwise(same_case(new, e))
+
+    def renamed(e: Column) -> Column:
+        return F.concat(F.regexp_extract(e, f"^({FORM})", 1), F.array_join(F.transform(F.split(F.regexp_replace(e, f"^{FORM}", ""), " "), replaced), " "))
+
+    new = F.transform("_all", lambda e: F.when(titled(e), renamed(e)).otherwise(replaced(e)))
+    parts = F.when(F.col("_again").isNull(), F.split("_text", ENTITY, -1)).otherwise(F.split(F.col("_text"), F.col("_again"), -1))
     text = F.array_join(F.zip_with(parts, new, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
 
     def columns(t: Column) -> list[Column]:
         return [t.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
 
     same = rows.where(F.size("_found") == 0).select(*columns(F.col("_text")), F.lit(0).alias("n_entities"))
-    return same.unionByName(changed.select(*columns(text), F.size("_found").alias("n_entities")))
+    return same.unionByName(changed.select(*columns(text), F.size("_all").alias("n_entities")))
 
 
 KEY = "citespark surrogates"

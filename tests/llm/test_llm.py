@@ -219,3 +219,16 @@ def test_stage_removes_passages_inside_sentences(spark):
     got = {r.doc_id: r.text for r in spans.stage(spark, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), "").collect()}
     assert got == want
     assert long[30] not in got[1] and got[1].split()[21:45] == short and got[2] == long[59].upper() + "."
+
+
+def test_pii_forms(spark):
+    gone = ["+1 (017) 555-7713", "(555) 123-4567", "555-123-4567", "+1 555 123 4567", "+49 30 1234567", "06 12 34 56 78", "030 1234567", "3782 822463 10005"]
+    texts = [f"Call {x}, now 7." for x in gone] + ["Mr John Smith met Mrs O'Brien. Smith's friend O'Brien said SMITH left; Smithson stays.", "Mr. Smith wrote", "Herr Smith, Frau von Stein-Berg",
+             "Smith here is no name", "in 2020-12-31 of 1 234 567 and 12.50 or 3.14159", "Mr Smith Mr Jones"]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    for i, x in enumerate(gone):
+        assert x not in got[i].text and got[i].n_entities == 1 and re.sub(r"\d", "0", got[i].text) == re.sub(r"\d", "0", texts[i])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mrs (\w+)\. (\w+)'s friend (\w+) said (\w+) left; Smithson stays\.", got[8].text)
+    assert m and m[2] == m[4] == m[6].capitalize() and m[3] == m[5] and len({m[1], m[2], m[3], "John", "Smith"}) == 5
+    assert got[9].text == f"Mr. {m[2]} wrote" and got[10].text.startswith(f"Herr {m[2]}, Frau von ") and "Stein" not in got[10].text
+    assert [got[i].text for i in (11, 12)] == texts[11:13] and got[13].text.startswith(f"Mr {m[2]} Mr ") and "Jones" not in got[13].text
