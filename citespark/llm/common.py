@@ -69,6 +69,18 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows joined with groups, one row for each value of keys, n of them in rows; keys are not null. The column n is dropped.
+
+    Groups with over 1/512 of the rows, of which there can be 511 at most, are broadcast, so that their rows stay where they
+    are; the others are joined by a shuffle.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(n) * 512 > total).drop(n))
+    cold = groups.where(F.col(n) * 512 <= total).drop(n)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold.hint("shuffle_merge"), keys))
+
+
 def per_row(make: Callable[[], Callable[[str], tuple]], keep: list[str], text: str, out: list[str]):
     """A mapInPandas function: columns keep, then what make()(text) returns for each row. make runs once in each task."""
     import pandas as pd

@@ -1,12 +1,8 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A 64-bit fingerprint is mapped to the bit counts of 32 two-bit segments. The Manhattan distance between two such
-vectors is a lower bound of the Hamming distance between the fingerprints. The vector is held in unary code (0, 1, 2
-as 00, 01, 11), so that Manhattan distance is one xor and one popcount. The range join: the 32 coordinates make six
-blocks; vectors within distance 2 differ in at most two blocks, so they share one of the C(6,4) = 15 grid cells made
-by four whole blocks. Cells with one fingerprint go; the others are searched for Manhattan distance <= 2 and then
-verified by exact Hamming distance, and return a spanning forest instead of pairs. A cell with more than ``cell_rows``
-different fingerprints is dealt out anew by exact masks of two bits, whose groups are cliques and return stars.
+vectors is a lower bound of the Hamming distance between the fingerprints. ``links`` joins the vectors on a grid, keeps
+pairs within Manhattan distance 2 and verifies those by exact Hamming distance; it returns a spanning forest, not the pairs.
 
 The stage of the pipeline does not use fingerprints: texts of similarity 0.8 differ in about ten of 64 bits. It finds
 candidates by bands of minimum hashes of five-word shingles and verifies each by its exact Jaccard similarity.
@@ -15,19 +11,17 @@ candidates by bands of minimum hashes of five-word shingles and verifies each by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, repeat
+from itertools import repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm.common import Scratch, documents, per_row
+from citespark.llm.common import Scratch, documents, join_groups, per_row
 from citespark.llm.graph import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED, WORDS, BITS = 42, 3, 2
 LOW = 0x5555555555555555
-BLOCKS = [sum(3 << (2 * d) for d in range(a, b)) for a, b in ((0, 6), (6, 12), (12, 17), (17, 22), (22, 27), (27, 32))]
-CELLS = [sum(m) for m in combinations(BLOCKS, 4)]
 
 
 def signed(x: int) -> int:
@@ -65,62 +59,96 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return df.mapInPandas(per_row(fingerprinter, cols, "_text", ["fp"]), schema)
 
 
-def forest(batches: Iterator):
-    """Rows with a list fps of one cell -> edges (a, b) of a spanning forest of the pairs within BITS."""
+def spanning(p, q):
+    """Edges as arrays -> arrays (node, smaller node) of a forest with the same components."""
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    u, w, label = at[:len(p)], at[len(p):], np.arange(len(nodes))
+    while True:
+        lu, lw = label[u], label[w]
+        if (lu == lw).all():
+            break
+        low = np.minimum(lu, lw)
+        for side in (u, w, lu, lw):
+            np.minimum.at(label, side, low)
+        label = label[label]
+    moved = label != np.arange(len(nodes))
+    return nodes[moved], nodes[label[moved]]
+
+
+def range_join(batches: Iterator):
+    """Rows (cell, visit, fp) sorted by cell, homes before visitors -> edges (a, b): a forest of the pairs found within BITS.
+
+    Every home is compared with the rows that follow it in its cell. Only the cell in work is held, 17 bytes for each of its rows.
+    """
     import numpy as np
     import pandas as pd
 
-    def embed(x):
+    def unary(x):
         lo, hi = x & np.uint64(LOW), (x >> np.uint64(1)) & np.uint64(LOW)
         return (hi | lo) | ((hi & lo) << np.uint64(1))
 
+    def search(cell, visit, fp):
+        x = fp.view(np.uint64)
+        u = unary(x)
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        end = np.repeat(np.append(start[1:], len(cell)), np.diff(np.append(start, len(cell))))
+        i, step, p, q, held = np.flatnonzero(~visit), 1, [], [], 0
+        while True:
+            i = i[end[i] - i > step]
+            if not len(i):
+                break
+            j = i + step
+            near = np.bitwise_count(u[i] ^ u[j]) <= BITS  # Manhattan distance of the counts: the lower bound
+            a, b = i[near], j[near]
+            same = np.bitwise_count(x[a] ^ x[b]) <= BITS
+            p.append(fp[a[same]])
+            q.append(fp[b[same]])
+            held += len(p[-1])
+            if held > 1 << 20:
+                a, b = spanning(np.concatenate(p), np.concatenate(q))
+                p, q, held = [a], [b], len(a)
+            step += 1
+        a, b = spanning(np.concatenate(p), np.concatenate(q)) if held else (fp[:0], fp[:0])
+        return pd.DataFrame({"a": a, "b": b})
+
+    rest = (np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64))
     for pdf in batches:
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for fps in pdf["fps"]:
-            x = np.unique(np.asarray(fps, dtype=np.int64).view(np.uint64))
-            u, n = embed(x), len(x)
-            label = np.arange(n)
-            todo = np.ones(n, dtype=bool)
-            # breadth first: each fingerprint is compared once with those not reached yet
-            for s in range(n):
-                if not todo[s]:
-                    continue
-                todo[s], front = False, [s]
-                while front:
-                    i = front.pop()
-                    rest = np.flatnonzero(todo)
-                    if not len(rest):
-                        break
-                    near = rest[np.bitwise_count(u[rest] ^ u[i]) <= BITS]  # Manhattan distance: the lower bound
-                    near = near[np.bitwise_count(x[near] ^ x[i]) <= BITS]
-                    todo[near] = False
-                    label[near] = s
-                    front.extend(near.tolist())
-            moved = label != np.arange(n)
-            a.append(x.view(np.int64)[moved])
-            b.append(x.view(np.int64)[label[moved]])
-        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def links(fps: DataFrame, scratch: Scratch, cell_rows: int = 16384) -> DataFrame:
-    """Different fingerprints (fp) -> edges (a, b) with the same components as all pairs within two bits."""
+        now = tuple(np.concatenate([r, pdf[c].to_numpy()]) for r, c in zip(rest, ("cell", "visit", "fp")))
+        if not len(now[0]):
+            continue
+        cut = int(np.searchsorted(now[0], now[0][-1]))
+        rest = tuple(x[cut:] for x in now)
+        if cut:
+            yield search(*(x[:cut] for x in now))
+    if len(rest[0]):
+        yield search(*rest)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Different fingerprints (fp) -> edges (a, b) with the same components as all pairs within two bits.
+
+    The counts of 32 two-bit segments, two bits each, make a vector of two halves. Vectors within Manhattan distance 2 have a
+    half within distance 1, so the range join runs on a grid of unit cells in each half: a fingerprint lives in its own cell
+    and visits the cells one step up (about 12 of 16); of two that are one step apart the lower one visits the upper one.
+    """
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lo, hi = F.col("fp").bitwiseAND(F.lit(LOW)), F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(LOW))
-    unary = hi.bitwiseOR(lo).bitwiseOR(F.shiftleft(hi.bitwiseAND(lo), 1))
-    cells = fps.select("fp", unary.alias("u")).select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(c).cast("byte").alias("c"), F.col("u").bitwiseAND(F.lit(signed(m))).alias("cell")) for c, m in enumerate(CELLS)))).alias("k")
-    ).select("fp", "k.c", "k.cell")
-    sizes = cells.groupBy("c", "cell").count().where("count > 1")
-    shared = scratch.put("cells", cells.join(sizes, ["c", "cell"]))
-    near = (shared.where(F.col("count") <= cell_rows).groupBy("c", "cell").agg(F.collect_list("fp").alias("fps"))
-            .select("fps").mapInPandas(forest, "a long, b long"))
-    masks = F.array(*(F.lit(signed(((1 << 64) - 1) ^ (1 << i) ^ (1 << j))) for i, j in combinations(range(64), 2)))
-    dense = shared.where(F.col("count") > cell_rows).select("fp").distinct().select(
-        "fp", F.posexplode(masks).alias("p", "m")).select("fp", "p", F.col("fp").bitwiseAND(F.col("m")).alias("m"))
-    stars = dense.join(dense.groupBy("p", "m").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), ["p", "m"])
-    return near.unionByName(stars.where("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
-
-
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 16384) -> DataFrame:
+    counts = F.shiftleft(lo.bitwiseAND(hi), 1).bitwiseOR(lo.bitwiseXOR(hi))
+    halves = fps.repartition(parts, "fp").select(
+        "fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), counts.bitwiseAND(F.lit(0xFFFFFFFF)).alias("own")),
+                                F.struct(F.lit(1).alias("side"), F.shiftrightunsigned(counts, 32).alias("own")))).alias("h")).select("fp", "h.side", "h.own")
+    cells = [F.struct(F.col("own").alias("cell"), F.lit(False).alias("visit"))]
+    for i in range(16):
+        up = F.shiftright("own", 2 * i).bitwiseAND(F.lit(3)) < 2
+        cells.append(F.when(up, F.struct((F.col("own") + F.lit(1 << (2 * i))).alias("cell"), F.lit(True).alias("visit"))))
+    dealt = halves.select("fp", "side", F.explode(F.array(*cells)).alias("k")).where("k is not null").select(
+        (F.col("side") * F.lit(1 << 40) + F.col("k.cell")).alias("cell"), "k.visit", "fp")
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "visit").mapInPandas(range_join, "a long, b long")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fp long, component_id): the smallest id reachable by links of two or fewer differing bits.
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other. Repeated rows stay.
@@ -130,15 +158,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash")
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     fps = scratch.put("fps", fingerprints(df, "_id", "_text"))
-    first = fps.groupBy("fp").agg(F.min("_id").alias("rep"))
-    cc = components(links(fps.select("fp").distinct(), scratch, cell_rows), scratch)
+    first = scratch.put("first", fps.groupBy("fp").agg(F.min("_id").alias("rep"), F.count("*").alias("n")))
+    cc = components(links(first.select("fp")), scratch)
     smallest = (first.join(cc, first.fp == cc.node).groupBy("component").agg(F.min("rep").alias("least")))
     moved = cc.join(smallest, "component").select(F.col("node").alias("fp"), "least")
-    all_fps = first.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return fps.join(all_fps, "fp", "left").select(F.col("_id").alias(id_col), "fp", "component_id")
+    all_fps = scratch.put("all", first.join(moved, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id"), "n"))
+    return join_groups(fps, all_fps, ["fp"], "n").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of documents; edge cases as in simhash_components."""
     found = simhash_components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
