@@ -11,7 +11,8 @@ their suffixes are put in order by their first 50 bytes, neighbours that agree i
 document among them comes from the dictionary. Runs and parse then carry the marks back to places in the corpus.
 
 Because of the 49 bytes the order of what follows a phrase never decides whether two 50-byte strings are equal, so the parse
-is not sorted. Phrases and runs are told apart by 128-bit hashes, strings by their bytes.
+is not sorted. Phrases are told apart by 128-bit hashes, runs by the hash of their
+least gram and one of all their bytes, 64 bits each, strings by their bytes.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def least_grams(raw: bytes):
 
     n = len(raw) - GRAM + 1
     h = words_at(raw, n) * np.uint64(FACTORS[0])
-    for k in (1, 2):
+    for k in range(8, GRAM, 8):
         h ^= h >> np.uint64(29)
-        h += words_at(raw[8 * k:], n)
-        h *= np.uint64(FACTORS[k])
+        h += words_at(raw[k:], n)
+        h *= np.uint64(FACTORS[k // 8 % 3])
     h ^= h >> np.uint64(32)
     span, size = LENGTH - GRAM + 1, 1
     while size * 2 <= span:
@@ -126,6 +127,19 @@ def runs_of(raw: bytes, at, n):
     return value[first], phrase[first], place[first], np.diff(np.append(first, len(value)))
 
 
+def planes(x) -> bytes:
+    """Eight-byte numbers as all their first bytes, then all second ones and so on, which compresses."""
+    import numpy as np
+
+    return x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def numbers(raw: bytes):
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def sketch(buckets: int):
     """Rows (uid, text, own) -> packed pairs of a value and a document: for each bucket (bucket, values, uids); for values that
     are shared already here, bucket -1 with all their pairs, and one pair that says so (uid -1) for the bucket."""
@@ -136,7 +150,7 @@ def sketch(buckets: int):
         order = np.argsort(b, kind="stable")
         b, value, uid = b[order], value[order], uid[order]
         first = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.empty(0, np.int64)
-        return [(int(b[s]), value[s:e].tobytes(), uid[s:e].tobytes()) for s, e in zip(first, np.append(first[1:], len(b)))]
+        return [(int(b[s]), planes(value[s:e]), planes(uid[s:e])) for s, e in zip(first, np.append(first[1:], len(b)))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vals, uids, held = [], [], 0
@@ -151,7 +165,7 @@ def sketch(buckets: int):
             one = start & np.append(start[1:], True)
             rows = pack(value[one], uid[one]) + pack(value[start & ~one], np.full((start & ~one).sum(), -1))
             if (~one).any():
-                rows.append((-1, value[~one].tobytes(), uid[~one].tobytes()))
+                rows.append((-1, planes(value[~one]), planes(uid[~one])))
             return pd.DataFrame(rows, columns=["bucket", "vals", "uids"])
 
         for pdf in batches:
@@ -175,8 +189,8 @@ def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import numpy as np
 
     def meet(parts):
-        value = np.concatenate([np.frombuffer(v, np.int64) for v, _ in parts])
-        uid = np.concatenate([np.frombuffer(u, np.int64) for _, u in parts])
+        value = np.concatenate([numbers(v) for v, _ in parts])
+        uid = np.concatenate([numbers(u) for _, u in parts])
         order = np.argsort(value, kind="stable")
         value, uid = value[order], uid[order]
         same = value[1:] == value[:-1]
@@ -188,7 +202,7 @@ def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for bucket, vals, uids in zip(pdf["bucket"], pdf["vals"], pdf["uids"]):
             if bucket == -1:
-                yield pd.DataFrame({"uid": np.frombuffer(uids, np.int64), "value": np.frombuffer(vals, np.int64)})
+                yield pd.DataFrame({"uid": numbers(uids), "value": numbers(vals)})
                 continue
             if bucket != now and parts:
                 yield meet(parts)
@@ -200,11 +214,11 @@ def shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(uid, id, text, own, vals) -> runs with a value out of vals: (value, a, b, uid, id, off, n, bytes)."""
+    """(uid, id, text, own, vals) -> runs with a value out of vals: (value, a, uid, id, off, n, bytes)."""
     import numpy as np
     import xxhash
 
-    names = ["value", "a", "b", "uid", "id", "off", "n", "bytes"]
+    names = ["value", "a", "uid", "id", "off", "n", "bytes"]
     for pdf in batches:
         ids, uids = pdf["id"].to_numpy(), pdf["uid"].to_numpy()
         want = [np.sort(np.asarray(v, dtype=np.int64)) for v in pdf["vals"]]
@@ -217,15 +231,13 @@ def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 on[s:e] = w[np.minimum(np.searchsorted(w, value[s:e]), len(w) - 1)] == value[s:e]
             value, phrase, place, size = value[on], phrase[on], place[on], size[on]
             parts = [raw[p:p + k + LENGTH - 1] for p, k in zip(place.tolist(), size.tolist())]
-            d = [xxhash.xxh3_128_intdigest(p) for p in parts]
-            a = np.array([x & 0xFFFFFFFFFFFFFFFF for x in d], dtype=np.uint64).view(np.int64)
-            b = np.array([x >> 64 for x in d], dtype=np.uint64).view(np.int64)
+            a = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), dtype=np.uint64, count=len(parts)).view(np.int64)
             r = row[phrase]
-            yield pd.DataFrame(dict(zip(names, (value, a, b, uids[r], ids[r], start[phrase] + place - at[phrase], size, parts))))
+            yield pd.DataFrame(dict(zip(names, (value, a, uids[r], ids[r], start[phrase] + place - at[phrase], size, parts))))
 
 
 def older(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs (value, salt, a, b, first, at, bytes) sorted by value and salt -> (a, b, x, y): strings x to y of a run, counted from its
+    """Runs (value, salt, a, first, at, bytes) sorted by value and salt -> (value, a, x, y): strings x to y of a run, counted from its
     start, also lie in a run with a smaller first document. The strings of each (value, salt) are put in the order of their bytes."""
     import numpy as np
 
@@ -253,7 +265,7 @@ def older(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stop = old & ~np.append(old[1:] & (run[1:] == run[:-1]), False)
         r, x, y = run[begin], inner[begin], inner[stop]
         offset = rows["at"].to_numpy()[r]
-        return pd.DataFrame({"a": rows["a"].to_numpy()[r], "b": rows["b"].to_numpy()[r], "x": x + offset, "y": y + offset})
+        return pd.DataFrame({"value": rows["value"].to_numpy()[r], "a": rows["a"].to_numpy()[r], "x": x + offset, "y": y + offset})
 
     rest = None
     for pdf in batches:
@@ -320,24 +332,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     vals = both.groupBy("uid").agg(F.collect_set("value").alias("vals"))
     wanted = own.join(vals.hint("shuffle_merge"), "uid")
     texts = long_enough.join(wanted.hint("shuffle_merge"), ["id", "dk"])  # a repeated row repeats its runs, which does no harm
-    runs = texts.select("uid", "id", "text", "own", "vals").mapInPandas(segments, "value long, a long, b long, uid long, id long, off int, n int, bytes binary")
+    runs = texts.select("uid", "id", "text", "own", "vals").mapInPandas(segments, "value long, a long, uid long, id long, off int, n int, bytes binary")
     runs = scratch.put("runs", runs)
     scratch.drop("shared")
     # equal runs are one; only the strings of values with different runs are put in order
-    kinds = runs.groupBy("value", "a", "b").agg(F.min("id").alias("first"), F.max("id").alias("most"), F.first("bytes").alias("bytes"), F.first("n").alias("n"))
-    kinds = scratch.put("kinds", kinds)
+    kinds = scratch.put("kinds", runs.groupBy("value", "a").agg(F.min("id").alias("first"), F.first("bytes").alias("bytes")))
     sizes = kinds.groupBy("value").agg(F.count("*").alias("k"), F.min("first").alias("lo"), F.max("first").alias("hi")).where("k > 1 and lo < hi").select("value", "k")
     mixed = kinds.join(sizes.hint("shuffle_merge"), "value")
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("salt"), F.col("bytes").alias("bytes")))
-    each = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(
+    each = F.transform(F.sequence(F.lit(0), F.length("bytes") - LENGTH), lambda i: F.struct(
         i.alias("at"), F.pmod(F.xxhash64(F.substring("bytes", i + 1, F.lit(LENGTH))), F.ceil(F.col("k") / CROWD)).alias("salt"), F.substring("bytes", i + 1, F.lit(LENGTH)).alias("bytes")))
-    mixed = mixed.select("value", "a", "b", "first", F.explode(F.when(F.col("k") <= CROWD, whole).otherwise(each)).alias("s")).select("value", "s.salt", "a", "b", "first", "s.at", "s.bytes")
-    found = mixed.repartition(parts, "value", "salt").sortWithinPartitions("value", "salt").mapInPandas(older, "a long, b long, x int, y int")
-    part = found.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y")).alias("part"))
-    part = kinds.where("first < most").select("a", "b", "value", "first").join(part, ["a", "b"], "full")
-    marks = scratch.put("marks", part.select("a", "b", "first", "part"))
+    mixed = mixed.select("value", "a", "first", F.explode(F.when(F.col("k") <= CROWD, whole).otherwise(each)).alias("s")).select("value", "s.salt", "a", "first", "s.at", "s.bytes")
+    found = mixed.repartition(parts, "value", "salt").sortWithinPartitions("value", "salt").mapInPandas(older, "value long, a long, x int, y int")
+    part = found.groupBy("value", "a").agg(F.collect_list(F.struct("x", "y")).alias("part"))
+    marks = scratch.put("marks", kinds.select("value", "a", "first").join(part, ["value", "a"], "left"))
     scratch.drop("kinds")
-    gone = runs.select("a", "b", "uid", "id", "off", "n").join(marks.hint("shuffle_merge"), ["a", "b"])
+    gone = runs.select("value", "a", "uid", "id", "off", "n").join(marks.hint("shuffle_merge"), ["value", "a"])
     span = lambda x, y: F.struct((F.col("off") + x).alias("a"), (F.col("off") + y + LENGTH).alias("b"))
     gone = gone.select("uid", F.when(F.col("id") > F.col("first"), F.array(span(F.lit(0), F.col("n") - 1))).otherwise(F.transform("part", lambda p: span(p["x"], p["y"]))).alias("g")).where("g is not null")
     inside = gone.groupBy("uid").agg(F.flatten(F.collect_list("g")).alias("g")).join(own.select("uid", "id", "dk").hint("shuffle_merge"), "uid").select("id", "dk", "g")
