@@ -15,7 +15,8 @@ from citespark.llm.common import SPACES, WORD, Scratch, documents
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "diversity")
+MARKS = "!?"
+RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "diversity", "letters", "capitals", "marks")
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -61,7 +62,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base.select(
         F.col("_id").alias(id_col), F.size("_w").cast("long").alias("n_words"), without(SPACES).cast("long").alias("word_chars"),
         (F.length("_t") - without(SYMBOLS)).cast("long").alias("n_symbols"), dups.cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("n_repeat_words"), F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"))
+        repeat_words(F.col("_w")).alias("n_repeat_words"), F.size(F.array_distinct("_w")).cast("long").alias("n_distinct"),
+        F.size(F.filter("_w", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_lettered"),
+        F.size(F.filter("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w))).cast("long").alias("n_capitals"), (F.length("_t") - without(MARKS)).cast("long").alias("n_marks"))
 
 
 def vote_columns() -> list[Column]:
@@ -78,26 +81,29 @@ def vote_columns() -> list[Column]:
         vote(F.col("n_dup_lines") == 0, 2 * F.col("n_dup_lines") >= n).alias("dup_lines"),
         vote(20 * F.col("n_repeat_words") <= n, 5 * F.col("n_repeat_words") > n).alias("repeats"),
         vote((n < 400) & (2 * F.col("n_distinct") >= n), (n < 400) & (10 * F.col("n_distinct") < n)).alias("diversity"),
+        vote(10 * F.col("n_lettered") >= 9 * n, 10 * F.col("n_lettered") < 7 * n).alias("letters"),
+        vote(10 * F.col("n_capitals") <= n, 10 * F.col("n_capitals") > 4 * n).alias("capitals"),
+        vote(20 * F.col("n_marks") <= n, 4 * F.col("n_marks") > n).alias("marks"),
     ]
 
 
 VOTES = (-1, 0, 1)
-#: Chance of each of VOTES from a good and from a bad row, at the start.
-START = ((0.04, 0.26, 0.7), (0.4, 0.2, 0.4))
+#: Chance of each of VOTES from a good and from a bad row, at the start, and how many rows that belief is worth.
+START, BELIEF = ((0.04, 0.26, 0.7), (0.4, 0.2, 0.4)), 10
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 100, prior: float = 0.85) -> tuple[float, list]:
     """Vote patterns with counts -> (share of good rows, for each rule the log ratio good : bad of each of VOTES).
 
-    What is estimated for a rule is how often it votes each way on good and on bad rows. A rule never turns around: a
-    bad vote stays at least ODDS times likelier from a bad row than from a good one, a good vote no likelier. No rows:
+    What is estimated for a rule is how often it votes each way on good and on bad rows; rules are taken as independent
+    within a class. A rule never turns around: a bad vote never speaks for a row, a good vote never against it. No rows:
     the starting values.
     """
     table = [START] * rules
     for _ in range(rounds):
         ratios = log_ratios(table)
         good = total = 0.0
-        seen = [[[10 * x for x in START[c]] for c in (0, 1)] for _ in range(rules)]
+        seen = [[[BELIEF * x for x in START[c]] for c in (0, 1)] for _ in range(rules)]
         for votes, n in patterns:
             p = posterior(votes, prior, ratios)
             good, total = good + n * p, total + n
@@ -106,20 +112,16 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = 1
                 seen[j][1][v + 1] += n * (1 - p)
         if not total:
             break
-        prior = min(max(good / total, 0.5), 0.99)
+        prior = min(max(good / total, 0.01), 0.99)
         table = [tuple(tuple(x / sum(row) for x in row) for row in pair) for pair in seen]
     return prior, log_ratios(table)
 
 
-#: Rules vote bad on plain grounds only, so a bad vote counts at least this much.
-ODDS = 500
-
-
 def log_ratios(table: list) -> list[tuple[float, float, float]]:
     out = []
     for good, bad in table:
         low, mid, high = (math.log(g / b) for g, b in zip(good, bad))
-        out.append((min(low, -math.log(ODDS)), min(max(mid, -1.0), 1.0), max(high, 0.0)))
+        out.append((min(low, 0.0), mid, max(high, 0.0)))
     return out
 
 
@@ -136,18 +138,20 @@ def weak_supervision(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     scratch = Scratch(docs.sparkSession, "quality")
     counted = features(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text")
-    voted = scratch.put("votes", counted.select("*", *vote_columns()))
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*RULES).count().orderBy(*RULES).collect()]
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    voted = scratch.put("votes", counted.select("*", failed.alias("base_failed"), *vote_columns()))
+    # the estimate decides among rows that the base leaves, so those are the rows it is made from
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.where("not base_failed").groupBy(*RULES).count().orderBy(*RULES).collect()]
     prior, ratios = fit(patterns, len(RULES))
     logit = F.lit(math.log(prior / (1 - prior)))
     for rule, (low, mid, high) in zip(RULES, ratios):
         logit = logit + F.when(F.col(rule) < 0, low).when(F.col(rule) > 0, high).otherwise(mid)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     quality = 1 / (1 + F.exp(-logit))
     return voted.select(
         F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        quality.alias("quality"), failed.alias("base_failed"), (~failed & (quality >= threshold)).alias("kept"))
+        quality.alias("quality"), "base_failed", (~F.col("base_failed") & (quality >= threshold)).alias("kept"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: doc_id, the counts, quality, base_failed, kept; edge cases as in weak_supervision."""
     return weak_supervision(documents(spark, sf_dir))
