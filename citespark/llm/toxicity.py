@@ -1,8 +1,9 @@
 """Toxicity by a classifier with a counterfactual penalty.
 
-A logistic regression over the set of words in a text. Labelled texts that name a group are paired with the same texts
-after the group's name was exchanged for another of its kind; the fit penalises the squared change of the score within a
-pair, so that naming a group neither raises nor lowers it. Fitted on a bounded sample of labelled rows; scored on all.
+A logistic regression over the set of words in a text. Labelled sentences that name a group are paired with the same
+sentences under every other name of its kind; labelled sentences that name none are paired with themselves with a name set
+in. The fit penalises the squared change of the score within a pair, so that naming a group neither raises nor lowers it.
+Fitted on a bounded sample of labelled rows; scored on all.
 """
 
 from __future__ import annotations
@@ -28,36 +29,60 @@ GROUPS = [
     ["muslime", "christen", "juden"], ["frauen", "männer"], ["migranten", "flüchtlinge", "ausländer"], ["musulmanes", "cristianos", "judíos"],
     ["mujeres", "hombres"], ["inmigrantes", "refugiados", "extranjeros"],
 ]
-SWAP = {w: g[(i + 1) % len(g)] for g in GROUPS for i, w in enumerate(g)}
+KIND = {w: g for g in GROUPS for w in g}
+NAMES = sorted(KIND)
+SENTENCE = re.compile(r"[^.!?\n]+")
+#: Pairs that one labelled row gives at most: names set into sentences, in turn, so that all rows together cover all names.
+SET_IN = 4
 
 
 def word_set(text: str) -> set[str]:
-    return {w for w in WORDS.findall(text.lower()) if len(w) <= 40}
+    return set(WORDS.findall(text.lower()))
 
 
 def bucket(word: str) -> int:
     return zlib.crc32(word.encode()) % BUCKETS
 
 
+def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
+    """Pairs of word sets of sentences that should score alike: one name for another of its kind in every sentence that names
+    a group; where the text names none, names set into its first sentences."""
+    pairs = []
+    sentences = [w for s in SENTENCE.findall(text) if (w := word_set(s))]
+    for words in sentences:
+        for name in sorted(words & KIND.keys()):
+            pairs += [(words, words - {name} | {other}) for other in KIND[name] if other != name]
+    if not pairs:
+        turn = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+        for k, words in enumerate(sentences[:SET_IN]):
+            pairs.append((words, words | {NAMES[(turn + k) % len(NAMES)]}))
+    return pairs
+
+
 def sample_features(batches: Iterator):
-    """Rows (toxic, text) -> toxic, buckets of the text's words, buckets after the exchange of group names (empty: none named)."""
+    """Rows (toxic, text) -> toxic, buckets of the text's words, and of each pair the buckets it gains and those it loses."""
     for pdf in batches:
-        xs, swapped = [], []
+        xs, gains, losses = [], [], []
         for text in pdf["text"]:
-            words = word_set(text if isinstance(text, str) else "")
-            xs.append(sorted({bucket(w) for w in words}))
-            swapped.append(sorted({bucket(SWAP.get(w, w)) for w in words}) if words & SWAP.keys() else [])
-        yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy(), "x": xs, "swapped": swapped})
+            text = text if isinstance(text, str) else ""
+            pairs = counterfactuals(text)
+            xs.append(sorted({bucket(w) for w in word_set(text)}))
+            gains.append([sorted(bucket(w) for w in b - a) for a, b in pairs])
+            losses.append([sorted(bucket(w) for w in a - b) for a, b in pairs])
+        yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy(), "x": xs, "gain": gains, "loss": losses})
 
 
-def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fairness: float = 5.0, rounds: int = 400) -> tuple[dict[int, float], float]:
+def fit(y, xs: list, gains: list, losses: list, features: int = 4000, least: float = 6.0, l2: float = 0.02, fairness: float = 5.0, rounds: int = 400) -> tuple[dict[int, float], float]:
     """Labels and bucket lists -> (weight of each bucket, intercept). Equal feature lists of one label count once.
 
-    The intercept is the share of label 1, so that a text without evidence gets that share.
+    ``features`` words at most get a weight, those whose difference between the labels is surest: their log ratio of
+    frequencies times the root of their count is over ``least``, in 5 rows or more; and all names of groups. ``fairness``
+    weighs the mean squared change of the score over all counterfactual pairs. The intercept is the share of label 1, so
+    that a text without evidence gets that share.
     """
     import numpy as np
 
-    rows = {(int(t), tuple(x)): tuple(s) for t, x, s in zip(y, xs, swapped)}
+    rows = {(int(t), tuple(x)): (g, h) for t, x, g, h in zip(y, xs, gains, losses)}
     if not rows or len({t for t, _ in rows}) < 2:
         return {}, math.log(1 / 9)
     y = np.array([t for t, _ in rows], dtype=float)
@@ -66,8 +91,8 @@ def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fair
         (pos if t else neg)[list(x)] += 1
     p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / (len(y) - y.sum() + 1)
     evidence = np.abs(np.log(p / q)) * np.sqrt(pos + neg) * (pos + neg >= 5)
-    names = [b for b in {bucket(w) for w in SWAP} if pos[b] + neg[b]]
-    top = [int(b) for b in np.argsort(-evidence)[:features] if evidence[b] > 6]
+    names = [bucket(w) for w in NAMES]
+    top = [int(b) for b in np.argsort(-evidence)[:features] if evidence[b] > least]
     chosen = {b: i for i, b in enumerate(dict.fromkeys(top + names))}
 
     def sparse(lists):
@@ -75,16 +100,15 @@ def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fair
         return np.repeat(np.arange(len(hit)), [len(h) for h in hit]), np.array([c for h in hit for c in h], dtype=int)
 
     r, c = sparse([x for _, x in rows])
-    pairs = [(x, s) for (_, x), s in rows.items() if s]
-    ra, ca = sparse([x for x, _ in pairs])
-    rb, cb = sparse([s for _, s in pairs])
-    k, n, m = len(chosen), len(y), max(1, len(pairs))
+    ra, ca = sparse([x for _, h in rows.values() for x in h])
+    rb, cb = sparse([x for g, _ in rows.values() for x in g])
+    k, n, m = len(chosen), len(y), max(1, sum(len(g) for g, _ in rows.values()))
     w, b = np.zeros(k), math.log(y.mean() / (1 - y.mean()))
     m1, m2 = np.zeros(k), np.zeros(k)
     for i in range(1, rounds + 1):
         z = np.bincount(r, w[c], n) + b
         err = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        gap = np.bincount(rb, w[cb], len(pairs)) - np.bincount(ra, w[ca], len(pairs))
+        gap = np.bincount(rb, w[cb], m) - np.bincount(ra, w[ca], m)
         g = np.bincount(c, err[r], k) / n + l2 * w / 100
         g += fairness / m * (np.bincount(cb, gap[rb], k) - np.bincount(ca, gap[ra], k))
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
@@ -93,18 +117,19 @@ def fit(y, xs: list, swapped: list, features: int = 4000, l2: float = 0.02, fair
     return {bk: float(w[i]) for bk, i in chosen.items()}, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> tuple[dict[int, float], float]:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, fairness: float = 5.0) -> tuple[dict[int, float], float]:
     """Fit on the labelled rows of docs outside the held-out third; of more than sample_rows, those with the smallest hash.
 
-    Rows with a null label or id teach nothing. A doc_id with several labels counts with each.
+    Rows with a null label or id teach nothing. A doc_id with several labels counts with each. No labels, or one only: an
+    intercept of one in ten and no weights.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # at most sample_rows rows
-    got = rows.mapInPandas(sample_features, "toxic int, x array<int>, swapped array<int>").toPandas()
+    got = rows.mapInPandas(sample_features, "toxic int, x array<int>, gain array<array<int>>, loss array<array<int>>").toPandas()
     got = got.iloc[sorted(range(len(got)), key=lambda i: (got["toxic"][i], len(got["x"][i]), tuple(got["x"][i])))]
-    return fit(got["toxic"], got["x"], got["swapped"])
+    return fit(got["toxic"], got["x"], got["gain"], got["loss"], fairness=fairness)
 
 
 def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str = "text", out: str = "score") -> DataFrame:
@@ -116,6 +141,8 @@ def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str
         memo: dict[str, float] = {}
 
         def of(word: str) -> float:
+            if len(word) > 64:
+                return weight.get(bucket(word), 0.0)
             got = memo.get(word)
             if got is None:
                 if len(memo) > 500_000:
@@ -130,6 +157,7 @@ def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of documents; a null doc_id is not held out, as it has no label."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     scored = scores(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -137,7 +165,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows that score threshold or more; rows, columns and order of columns stay."""
+    """docs without the rows that score threshold or more; columns and their order stay. Null and empty texts get the share of
+    label 1 and stay where that is below the threshold. No rows give no rows."""
     name = free_name(docs, "_score")
     scored = scores(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), out=name)
     return scored.where(F.col(name) < threshold).drop(name)
