@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -45,7 +45,10 @@ def token_ids(ranks_path: str, pattern: str, special: dict[str, int]):
 
 
 def cut_pieces(docs: DataFrame, make_ids, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents -> (_id, piece, start, length, ids_crc32). Only texts of over capacity ids are cut; their first piece may be short."""
+    """Documents -> (_id, piece, start, length, ids_crc32). Only texts of over capacity ids are cut; their first piece may be short.
+
+    A null or empty text is one piece with the closing id 0. Null and repeated ids stay. No rows give no rows.
+    """
     import pandas as pd
 
     df = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -109,62 +112,103 @@ def best_fit(lengths: dict[int, int], capacity: int = CAPACITY) -> Counter:
     return done
 
 
-def improve(bins: Counter, capacity: int = CAPACITY, steps: int = 3000, patterns: int = 400) -> Counter:
-    """Exchange documents between underfull bins while that raises the sum of squared fills; bins that get empty go.
+class Slots:
+    """Bins by what they can take: for every length t of a document in a bin (0: none) the bins with it, by free room."""
 
-    ``steps`` and ``patterns`` bound the work of the search (a step changes all equal bins at once); they drop nothing.
-    """
+    def __init__(self, capacity: int):
+        import numpy as np
+
+        self.capacity, self.at = capacity, [[] for _ in range(capacity + 1)]
+        self.reach = np.full(capacity + 1, -1)  # the largest document that a bin takes in exchange for t
+
+    def _touch(self, b: Bin, change) -> None:
+        free = self.capacity - sum(b)
+        for t in {0, *b}:
+            change(self.at[t], (free, b))
+            self.reach[t] = t + self.at[t][-1][0] if self.at[t] else -1
+
+    def add(self, b: Bin) -> None:
+        self._touch(b, insort)
+
+    def remove(self, b: Bin) -> None:
+        self._touch(b, lambda row, x: row.pop(bisect_left(row, x)))
+
+    def exchange(self, a: Bin) -> tuple[Bin, tuple, int] | None:
+        """The exchange that moves most from a: (other bin, what a gives, what it takes back or 0), or None."""
+        import numpy as np
+
+        reach = np.maximum.accumulate(self.reach)
+        mine, count = sorted(set(a), reverse=True), Counter(a)
+        gives = [(x,) for x in mine] + [(x, y) for i, x in enumerate(mine) for y in mine[i:] if x != y or count[x] > 1]
+        sizes = np.array([sum(g) for g in gives])
+        takes = np.searchsorted(reach, sizes)  # the smallest document that makes room
+        gain = np.where(takes < sizes, sizes - takes, 0)
+        best = int(gain.argmax())
+        if gain[best] <= 0:
+            return None
+        t = int(takes[best])
+        row = self.at[t]
+        return row[bisect_left(row, (int(gain[best]),))][1], gives[best], t
+
+
+def improve(bins: Counter, capacity: int = CAPACITY) -> Counter:
+    """Move a document, or exchange one or two for one, between underfull bins while that raises the sum of squared fills; bins
+    that get empty go. Ends at a local optimum or at the lower bound, never before; equal bins change in one step."""
     bins = Counter(bins)
-    for _ in range(steps):
-        loose = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))
-        if len(loose) < 2 and not (loose and bins[loose[0]] > 1):
-            break
-        step = None
-        for a in loose[:8]:
-            for b in loose[::-1][:patterns]:
-                if (b == a and bins[a] < 2) or sum(b) < sum(a):
-                    continue
-                step = exchange(a, b, capacity - sum(b))
-                if step:
-                    break
+    least = -(-sum(sum(b) * n for b, n in bins.items()) // capacity)
+    slots, order = Slots(capacity), []
+
+    def put(b: Bin, n: int) -> None:
+        if not bins[b] and sum(b) < capacity:
+            slots.add(b)
+            insort(order, (sum(b), b))
+        bins[b] += n
+        if not bins[b]:
+            del bins[b]
+            if sum(b) < capacity:
+                slots.remove(b)
+                order.pop(bisect_left(order, (sum(b), b)))
+
+    found, bins = bins, Counter()
+    for b, n in found.items():
+        put(b, n)
+    while sum(bins.values()) > least:
+        hidden, level, step = [], [], None
+        for fill, a in order:  # emptiest first; the other bin is as full or fuller, so that the sum of squares grows
+            if level and sum(level[0]) < fill:
+                for b in level:
+                    slots.remove(b)
+                hidden, level = hidden + level, []
+            alone = bins[a] == 1
+            if alone:
+                slots.remove(a)
+            step = slots.exchange(a)
+            if alone:
+                slots.add(a)
             if step:
                 break
+            level.append(a)
+        for b in hidden:
+            slots.add(b)
         if not step:
             break
-        n = bins[a] // 2 if a == b else min(bins[a], bins[b])
-        for old in (a, b):
-            bins[old] -= n
-            if not bins[old]:
-                del bins[old]
-        for new in step:
+        other, give, take = step
+        n = bins[a] // 2 if other == a else min(bins[a], bins[other])
+        x, y = Counter(a), Counter(other)
+        x.subtract(give)
+        y.update(give)
+        if take:
+            x[take] += 1
+            y[take] -= 1
+        put(a, -n)
+        put(other, -n)
+        for c in (x, y):
+            new = tuple(sorted((+c).elements(), reverse=True))
             if new:
-                bins[new] += n
+                put(new, n)
     return bins
 
 
-def exchange(a: Bin, b: Bin, free: int) -> tuple[Bin, Bin] | None:
-    """The emptier bin a gives b more than it takes back: the best gain of at most ``free``, or None."""
-    best, how = 0, None
-    mine, theirs = sorted(set(a), reverse=True), sorted(set(b))
-    count = Counter(a)
-    gives = [(x,) for x in mine] + [(x, y) for i, x in enumerate(mine) for y in mine[i:] if x != y or count[x] > 1][:2000]
-    for give in gives:
-        total = sum(give)
-        if best < total <= free:
-            best, how = total, (give, ())
-        i = bisect_left(theirs, total - free)  # the smallest that makes room
-        if i < len(theirs) and 0 < total - theirs[i] <= free and total - theirs[i] > best:
-            best, how = total - theirs[i], (give, (theirs[i],))
-    if not how:
-        return None
-    x, y = Counter(a), Counter(b)
-    x.subtract(how[0])
-    x.update(how[1])
-    y.subtract(how[1])
-    y.update(how[0])
-    return tuple(sorted((+x).elements(), reverse=True)), tuple(sorted((+y).elements(), reverse=True))
-
-
 def places(bins: Counter) -> dict:
     """Bins with counts -> columns length, rank (first of a run of numbers), sequence (of the first), offset: one entry for each place."""
     rank: Counter = Counter()
@@ -221,8 +265,10 @@ def make_50k():
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of every row of documents; columns and edge cases as in pack."""
     return pack(documents(spark, sf_dir), make_50k)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of docs, packed; columns and edge cases as in pack."""
     return pack(docs, make_50k)
