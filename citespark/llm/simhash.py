@@ -172,7 +172,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-NEAR_WORDS, BANDS, BAND_ROWS, STARS = 5, 20, 4, 3
+#: Words of a shingle; bands and minima of a band; rounds of comparison with one member; shingles that a task holds of a bucket (twice).
+NEAR_WORDS, BANDS, BAND_ROWS, STARS, HELD = 5, 20, 4, 3, 1 << 21
 
 
 def shingle_set(text: str):
@@ -224,11 +225,63 @@ def alike(batches: Iterator):
         yield pdf.loc[np.array(good, dtype=bool), ["a", "b"]]
 
 
+def packed_sets(batches: Iterator):
+    """(node, text) -> (node, shingles: its set of hashes as bytes)"""
+    import pandas as pd
+
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
+
+
+def connect(pdf):
+    """Two pieces of a bucket (node, component, shingles) -> edges (a, b) that join all that links of Jaccard >= 0.8 join.
+
+    Breadth first: a member is compared at once with all that are not in its component yet; those of one component need no edge.
+    """
+    import numpy as np
+    import pandas as pd
+
+    sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+    size = np.array([len(s) for s in sets])
+    word = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    at = np.cumsum(size) - size
+    node, comp = pdf["node"].to_numpy(), np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+    mark, a, b = np.zeros(word.max() + 1, dtype=bool), [], []
+    by = np.argsort(-np.bincount(comp)[comp], kind="stable")  # large components first: few are left to compare them with
+    todo = np.ones(len(node), dtype=bool)
+    for s in by:
+        if not todo[s]:
+            continue
+        front = np.flatnonzero(todo & (comp == comp[s])).tolist()
+        todo[front] = False
+        rest = np.flatnonzero(todo)
+        flat = None
+        while front and len(rest):
+            if flat is None:
+                flat = np.concatenate([word[at[r]:at[r] + size[r]] for r in rest])
+                start = np.cumsum(size[rest]) - size[rest]
+            i = front.pop()
+            mine = word[at[i]:at[i] + size[i]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[flat], start, dtype=np.int64)
+            mark[mine] = False
+            near = rest[9 * both >= 4 * (size[rest] + size[i])]
+            if len(near):
+                a += [node[i]] * len(near)
+                b += node[near].tolist()
+                more = np.flatnonzero(todo & np.isin(comp, comp[near]))
+                todo[more] = False
+                front += more.tolist()
+                rest, flat = np.flatnonzero(todo), None
+    return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+
 def near_links(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """nodes (node, n, bands) with different shingle sets, texts (node, text) -> (node, component) of the links of Jaccard >= 0.8.
 
     Candidates share a bucket, that is one band. In a bucket, members are compared with one of them (in STARS rounds, each with
-    another one); then every two that are not yet in one component are compared, so that no candidate pair is passed over.
+    another one); buckets whose members are then in several components are searched whole, in pieces of HELD shingles, two
+    pieces in a task, so that no candidate pair is passed over. Pairs are never listed but for one for each member and round.
     """
     cells = nodes.select("node", "n", F.posexplode("bands").alias("band", "cell"))
     sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -236,19 +289,28 @@ def near_links(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "cell")).alias("k")).select("k.band", "k.cell")
     left = scratch.put("buckets", cells.join(once, ["band", "cell"]).select("band", "cell", "node", "n", F.col("node").alias("component")))
     links_, cc = None, None
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        for end in ("b", "a"):
+            pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"t{end}")).hint("shuffle_merge"), end)
+        return pairs.select("a", "b", "ta", "tb")
+
     for r in range(STARS + 1):
-        size = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node"), F.col("n"), F.col("component"))
         if r < STARS:
+            size = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node"), F.col("n"), F.col("component"))
             other = left.groupBy("band", "cell").agg(F.min(size).alias("c")).select("band", "cell", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+            pairs = left.join(other, ["band", "cell"]).where("component <> ca and 5 * least(n, na) >= 4 * greatest(n, na)")
+            pairs = scratch.put(f"pairs{r}", pairs.select("a", F.col("node").alias("b")).distinct())
+            found = with_texts(pairs).mapInPandas(alike, "a long, b long")
         else:
-            other = left.select("band", "cell", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-        pairs = left.join(other, ["band", "cell"]).where("component <> ca and 5 * least(n, na) >= 4 * greatest(n, na)")
-        if r == STARS:
-            pairs = pairs.where("a < node")
-        pairs = scratch.put(f"pairs{r}", pairs.select("a", F.col("node").alias("b")).distinct())
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("shuffle_merge"), "b").join(
-            texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("shuffle_merge"), "a")
-        found = scratch.put(f"links{r}", both.select("a", "b", "ta", "tb").mapInPandas(alike, "a long, b long"))
+            sets = left.select("node").distinct().join(texts.hint("shuffle_merge"), "node").mapInPandas(packed_sets, "node long, shingles binary")
+            sets = scratch.put("shingles", sets)
+            cuts = left.groupBy("band", "cell").agg(F.ceil(F.sum("n") / HELD).alias("cut"))
+            own = left.join(cuts, ["band", "cell"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("cut")))
+            dealt = own.select("band", "cell", "node", "component", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("u"))
+            dealt = dealt.select("band", "cell", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "component")
+            found = dealt.join(sets.hint("shuffle_merge"), "node").groupBy("band", "cell", "i", "j").applyInPandas(connect, "a long, b long")
+        found = scratch.put(f"links{r}", found.distinct())
         links_ = found if links_ is None else links_.unionByName(found)
         cc = components(links_, scratch, f"near{r}_")
         if r < STARS:
@@ -287,4 +349,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one row of each group of near copies, all columns kept; edge cases as in keep_first."""
     return keep_first(docs)
