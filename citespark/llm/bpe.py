@@ -212,6 +212,7 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of documents; edge cases as in bpe_round_trip."""
     import public_tokenizers
 
     return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citespark.llm.common import SPACES, WORD, Scratch, documents, per_row
+from citespark.llm.common import SPACES, WORD, Scratch, documents, free_name, per_row
 
 #: A sentence ends with its full stops or line ends; the pieces put together are the text.
 SENTENCE = r"[^.!?\n]*[.!?\n]+|[^.!?\n]+"
@@ -33,10 +33,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Sentences without any character but white space are passed over. Runs of ``run`` sentences (of at least ``min_chars``
     characters) are compared; the first is the one with the smallest id (null last), then the smallest place. Repeated rows
     are documents of their own: all but one lose what they share. Texts of fewer sentences stay whole. A null text stays
-    null. No rows give no rows. docs may have any other columns but n_sentences and n_removed, which are replaced.
+    null. No rows give no rows. docs may have any other columns; the counts get a _ where their names are taken.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    docs = docs.drop("n_sentences", "n_removed")
+    n_sentences, n_removed = free_name(docs, "n_sentences"), free_name(docs, "n_removed")
     rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
     id_, text_ = F.col("_row").getField(id_col), F.col("_row").getField(text_col)
     listed = rows.select("_uid", id_.alias("_id"), sentence_list(text_).alias("_s"))
@@ -54,10 +54,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = later.groupBy("_uid").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("_gone"))
     gone = scratch.put("gone", gone.select("_uid", F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g["start"], g["stop"])))).alias("_gone")))
     joined = rows.join(gone.hint("shuffle_merge"), "_uid", "left").select("*", sentence_list(text_).alias("_s"))
-    kept = F.array_join(F.filter(F.col("_s"), lambda s, i: ~F.array_contains(F.col("_gone"), i)), "")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_s") - 1), "_gone")  # by a hash set; a text with a run has sentences
+    kept = F.array_join(F.transform(left, lambda i: F.get("_s", i)), "")
     text = F.when(F.col("_gone").isNull(), text_).otherwise(kept)
     names = [text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns]
-    return joined.select(*names, F.size("_s").alias("n_sentences"), F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))
+    return joined.select(*names, F.size("_s").alias(n_sentences), F.coalesce(F.size("_gone"), F.lit(0)).alias(n_removed))
 
 
 def sequence_hashes(items, stops, starts, seed: int):
@@ -241,12 +242,14 @@ def cut_texts(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
 
 
 def op10_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, kept_sha256) for every row of documents; edge cases as in remove_repeats."""
     done = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", F.col("n_sentences").cast("long").alias("n_sentences"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with repeated passages taken out of the text; rows and columns stay. Edge cases as in remove_passages."""
     return remove_passages(docs)
 
 
