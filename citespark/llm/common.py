@@ -32,9 +32,9 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.sweep()  # what the table before this one shuffled is out of reach only now
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -46,6 +46,7 @@ class Scratch:
         self.sweep()
 
     def sweep(self) -> None:
+        """Collect plans out of reach: Spark deletes the files of their shuffles when the driver's objects go, else only every 30 minutes."""
         import gc
 
         gc.collect()

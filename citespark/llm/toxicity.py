@@ -60,15 +60,15 @@ def counterfactuals(text: str) -> list[tuple[set[str], set[str]]]:
 
 
 def sample_features(batches: Iterator):
-    """Rows (toxic, text) -> toxic, buckets of the text's words, and of each pair the buckets it gains and those it loses."""
+    """Rows (toxic, text) -> toxic, buckets of the text's words, and for each pair the bucket it gains and the one it loses (-1: none)."""
     for pdf in batches:
         xs, gains, losses = [], [], []
         for text in pdf["text"]:
             text = text if isinstance(text, str) else ""
             pairs = counterfactuals(text)
             xs.append(sorted({bucket(w) for w in word_set(text)}))
-            gains.append([sorted(bucket(w) for w in b - a) for a, b in pairs])
-            losses.append([sorted(bucket(w) for w in a - b) for a, b in pairs])
+            gains.append([next((bucket(w) for w in b - a), -1) for a, b in pairs])
+            losses.append([next((bucket(w) for w in a - b), -1) for a, b in pairs])
         yield pd.DataFrame({"toxic": pdf["toxic"].to_numpy(), "x": xs, "gain": gains, "loss": losses})
 
 
@@ -82,27 +82,31 @@ def fit(y, xs: list, gains: list, losses: list, features: int = 4000, least: flo
     """
     import numpy as np
 
-    rows = {(int(t), tuple(x)): (g, h) for t, x, g, h in zip(y, xs, gains, losses)}
-    if not rows or len({t for t, _ in rows}) < 2:
+    xs = [np.asarray(x, dtype=np.int32) for x in xs]
+    first = {(int(t), x.tobytes()): i for i, (t, x) in enumerate(zip(y, xs))}
+    if len({t for t, _ in first}) < 2:
         return {}, math.log(1 / 9)
-    y = np.array([t for t, _ in rows], dtype=float)
-    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for t, x in rows:
-        (pos if t else neg)[list(x)] += 1
+    y = np.array([t for t, _ in first], dtype=float)
+    xs = [xs[i] for i in first.values()]
+    gain, loss = (np.concatenate([np.asarray(side[i], dtype=np.int64) for i in first.values()]) for side in (gains, losses))
+    row, word = np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs)
+    pos, neg = (np.bincount(word[y[row] == t], minlength=BUCKETS) for t in (1, 0))
     p, q = (pos + 0.5) / (y.sum() + 1), (neg + 0.5) / (len(y) - y.sum() + 1)
     evidence = np.abs(np.log(p / q)) * np.sqrt(pos + neg) * (pos + neg >= 5)
     names = [bucket(w) for w in NAMES]
     top = [int(b) for b in np.argsort(-evidence)[:features] if evidence[b] > least]
     chosen = {b: i for i, b in enumerate(dict.fromkeys(top + names))}
+    column = np.full(BUCKETS + 1, -1)  # the last one is that of bucket -1
+    column[list(chosen)] = np.arange(len(chosen))
 
-    def sparse(lists):
-        hit = [[chosen[b] for b in x if b in chosen] for x in lists]
-        return np.repeat(np.arange(len(hit)), [len(h) for h in hit]), np.array([c for h in hit for c in h], dtype=int)
+    def sparse(rows, words):
+        at = column[words]
+        return rows[at >= 0], at[at >= 0]
 
-    r, c = sparse([x for _, x in rows])
-    ra, ca = sparse([x for _, h in rows.values() for x in h])
-    rb, cb = sparse([x for g, _ in rows.values() for x in g])
-    k, n, m = len(chosen), len(y), max(1, sum(len(g) for g, _ in rows.values()))
+    r, c = sparse(row, word)
+    ra, ca = sparse(np.arange(len(loss)), loss)
+    rb, cb = sparse(np.arange(len(gain)), gain)
+    k, n, m = len(chosen), len(y), max(1, len(gain))
     w, b = np.zeros(k), math.log(y.mean() / (1 - y.mean()))
     m1, m2 = np.zeros(k), np.zeros(k)
     for i in range(1, rounds + 1):
@@ -123,12 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, fairnes
     Rows with a null label or id teach nothing. A doc_id with several labels counts with each. No labels, or one only: an
     intercept of one in ten and no weights.
     """
+    import numpy as np
+
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # at most sample_rows rows
-    got = rows.mapInPandas(sample_features, "toxic int, x array<int>, gain array<array<int>>, loss array<array<int>>").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["toxic"][i], len(got["x"][i]), tuple(got["x"][i])))]
+    got = rows.mapInPandas(sample_features, "toxic int, x array<int>, gain array<int>, loss array<int>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["toxic"][i], bytes(memoryview(np.asarray(got["x"][i], dtype=np.int32)))))]
     return fit(got["toxic"], got["x"], got["gain"], got["loss"], fairness=fairness)
 
 
