@@ -1,159 +1,15 @@
-"""The catalogue of queries over the given tables, each with SQL that gives the same rows.
-
-documents stand for chunks: validity, tenant and section follow from doc_id. benchmark rows are the questions.
-"""
+"""The catalogue of queries over the given tables, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from citespark.operators import rank, scope
-
-DAY = "2026-07-01"
-
-
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = (2025 + F.col("doc_id") % 2).cast("int")
-    law = F.col("doc_id") % 5 == 0
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
-        "doc_id", "text", "lang", F.sha2(F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(":0")), 256).substr(1, 16).alias("chunk_id"),
-        F.make_date(year, F.lit(1), F.lit(1)).alias("valid_from"),
-        F.when(~law, F.make_date(year, F.lit(12), F.lit(31))).alias("valid_to"), F.when(law, "law").otherwise("kv").alias("source_type"),
-        F.when(F.col("doc_id") % 10 == 9, "t9").otherwise("public").alias("tenant_id"), F.col("source").alias("short_title"),
-        F.lit("").alias("section_title"), F.concat(F.lit("§ "), F.col("doc_id") % 20).alias("section_ref"))
-
-
-CHUNKS = """chunks AS (SELECT doc_id, text, lang, substr(sha256('doc-' || doc_id || ':0'), 1, 16) AS chunk_id,
-  make_date((2025 + doc_id % 2)::INT, 1, 1) AS valid_from, CASE WHEN doc_id % 5 <> 0 THEN make_date((2025 + doc_id % 2)::INT, 12, 31) END AS valid_to,
-  CASE WHEN doc_id % 5 = 0 THEN 'law' ELSE 'kv' END AS source_type, CASE WHEN doc_id % 10 = 9 THEN 't9' ELSE 'public' END AS tenant_id,
-  source AS short_title, '§ ' || (doc_id % 20) AS section_ref FROM documents),
-scoped AS (SELECT * FROM chunks WHERE tenant_id = 'public' AND valid_from <= DATE '2026-07-01' AND (valid_to IS NULL OR valid_to >= DATE '2026-07-01'))"""
-
-
-def day():
-    return F.lit(DAY).cast("date")
-
-
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-
-
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
-
-
-def in_force_filter(spark, sf_dir):
-    return scope.scope(chunks(spark, sf_dir), day()).select("doc_id", "chunk_id", "valid_from", "valid_to")
-
-
-def scope_tenant_lang(spark, sf_dir):
-    return scope.scope(chunks(spark, sf_dir), day(), lang="de", source_type="law").select("doc_id", "lang")
-
-
-def as_of_resolution(spark, sf_dir):
-    year = F.when(F.col("item_id") % 3 > 0, (2025 + F.col("item_id") % 2).cast("int"))
-    return questions(spark, sf_dir).select("item_id", scope.as_of(year, day()).alias("as_of"))
-
-
-def coverage_by_source(spark, sf_dir):
-    return scope.coverage(chunks(spark, sf_dir))
-
+from citespark.plans import retrieval
 
-def coverage_gaps(spark, sf_dir):
-    return scope.gaps(scope.coverage(chunks(spark, sf_dir)), F.lit("2027-01-01").cast("date")).select("source_type")
-
-
-def citations_short(spark, sf_dir):
-    return chunks(spark, sf_dir).select("doc_id", scope.citation(short=True).alias("citation"))
-
-
-def vocab(spark, sf_dir):
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-zÄÖÜäöüß]{4,})"), F.lit(0))
-    found = chunks(spark, sf_dir).select(F.explode(words).alias("w")).groupBy(F.lower("w").alias("word")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("w").rlike("^[A-ZÄÖÜ]")).alias("upper"))
-    return found.where("n >= 2").select("word", "n", (2 * F.col("upper") > F.col("n")).alias("noun"))
-
-
-def bm25_topk(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return rank.bm25(questions(spark, sf_dir), c, 10, scope.scope(c, day()))
-
-
-def cosine_topk(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    q = questions(spark, sf_dir).join(v, F.col("item_id") == F.col("vec_id")).select("item_id", F.col("v").alias("qv"))
-    c = scope.scope(chunks(spark, sf_dir), day()).select("doc_id").join(v, F.col("doc_id") == F.col("vec_id")).select("doc_id", "v")
-    return rank.cosine(q, c, 10)
-
-
-def hybrid_rrf(spark, sf_dir):
-    return rank.rrf(cosine_topk(spark, sf_dir), bm25_topk(spark, sf_dir))
-
-
-def section_cap(spark, sf_dir):
-    where = chunks(spark, sf_dir).select("doc_id", "section_ref")
-    return rank.cap_sections(hybrid_rrf(spark, sf_dir).join(where, "doc_id"), 8, ["section_ref"], 1).select("item_id", "doc_id", "place")
-
-
-def ground_truth(spark, sf_dir):
-    return questions(spark, sf_dir).select("item_id", F.col("text").alias("q")).join(
-        chunks(spark, sf_dir).select("doc_id", "text"), F.contains("text", "q")).select("item_id", "doc_id")
-
-
-def recall_at_k(spark, sf_dir):
-    return rank.recall(rank.bm25(questions(spark, sf_dir), chunks(spark, sf_dir), 10), ground_truth(spark, sf_dir))
-
-
-QUERIES = [in_force_filter, scope_tenant_lang, as_of_resolution, coverage_by_source, coverage_gaps, citations_short, vocab, bm25_topk, cosine_topk,
-           hybrid_rrf, section_cap, ground_truth, recall_at_k]
+PLANS = [retrieval]
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in QUERIES}
-
-
-def _bm25(allowed: str, name: str) -> str:
-    pattern = rank.TOKEN
-    return rf"""
-tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{pattern}') AS t FROM chunks),
-tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok),
-tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
-df AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf CROSS JOIN tot GROUP BY term, n),
-idf AS (SELECT term, CASE WHEN raw < 0 THEN {rank.EPSILON} * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df),
-qt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '{pattern}')) AS term FROM benchmark),
-sc AS (SELECT item_id, doc_id, round(sum(idf * tf * {rank.K1 + 1} / (tf + {rank.K1} * (1 - {rank.B} + {rank.B} * dl / avgdl))), 6) AS score
-  FROM tf JOIN idf USING (term) JOIN qt USING (term) CROSS JOIN tot WHERE doc_id IN (SELECT doc_id FROM {allowed}) GROUP BY ALL),
-{name} AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)"""
-
-
-COSINE = """
-cs AS (SELECT item_id, doc_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM benchmark
-  JOIN embeddings a ON a.vec_id = item_id CROSS JOIN scoped JOIN embeddings b ON b.vec_id = doc_id),
-cosine AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM cs QUALIFY rank <= 10)"""
-FUSED = """
-lg AS (SELECT item_id, doc_id, rank, 0 AS leg FROM cosine UNION ALL SELECT item_id, doc_id, rank, 1 FROM lexical),
-fu AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS fused, min(leg * 1000 + rank) AS f FROM lg GROUP BY ALL),
-hybrid AS (SELECT item_id, doc_id, fused, row_number() OVER (PARTITION BY item_id ORDER BY fused DESC, f, doc_id)::INT AS rank FROM fu QUALIFY rank <= 10)"""
-TRUTH = "truth AS (SELECT item_id, doc_id FROM benchmark b JOIN chunks c ON contains(c.text, b.text))"
+    return {q.__name__: q for plan in PLANS for q in plan.QUERIES}
 
 
 def oracle_sql() -> dict:
-    lexical, hybrid = _bm25("scoped", "lexical"), f"{CHUNKS}, {_bm25('scoped', 'lexical')}, {COSINE}, {FUSED}"
-    ks = ", ".join(f"round(avg(CASE WHEN r <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}" for k in (1, 3, 5, 10))
-    return {
-        "in_force_filter": f"WITH {CHUNKS} SELECT doc_id, chunk_id, valid_from, valid_to FROM scoped",
-        "scope_tenant_lang": f"WITH {CHUNKS} SELECT doc_id, lang FROM scoped WHERE lang = 'de' AND source_type = 'law'",
-        "as_of_resolution": "SELECT item_id, CASE WHEN item_id % 3 > 0 THEN make_date((2025 + item_id % 2)::INT, 7, 1) ELSE DATE '2026-07-01' END AS as_of FROM benchmark",
-        "coverage_by_source": f"WITH {CHUNKS} SELECT source_type, min(valid_from) AS earliest, CASE WHEN bool_or(valid_to IS NULL) THEN NULL ELSE max(valid_to) END AS latest, count(*) AS n_chunks FROM chunks GROUP BY source_type",
-        "coverage_gaps": f"WITH {CHUNKS} SELECT source_type FROM chunks GROUP BY 1 HAVING min(valid_from) > DATE '2027-01-01' OR (NOT bool_or(valid_to IS NULL) AND max(valid_to) < DATE '2027-01-01')",
-        "citations_short": f"WITH {CHUNKS} SELECT doc_id, '[' || short_title || CASE WHEN source_type = 'kv' THEN ' ' || year(valid_from) ELSE '' END || ', ' || section_ref || ']' AS citation FROM chunks",
-        "vocab": "WITH w AS (SELECT unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÄÖÜäöüß]{4,}')) AS w FROM documents) SELECT lower(w) AS word, count(*) AS n, 2 * count(*) FILTER (regexp_matches(w, '^[A-ZÄÖÜ]')) > count(*) AS noun FROM w GROUP BY 1 HAVING count(*) >= 2",
-        "bm25_topk": f"WITH {CHUNKS}, {lexical} SELECT * FROM lexical",
-        "cosine_topk": f"WITH {CHUNKS}, {COSINE} SELECT * FROM cosine",
-        "hybrid_rrf": f"WITH {hybrid} SELECT * FROM hybrid",
-        "section_cap": f"WITH {hybrid}, s AS (SELECT item_id, doc_id, rank, row_number() OVER (PARTITION BY item_id, section_ref ORDER BY rank) AS k FROM hybrid JOIN chunks USING (doc_id)) "
-                       "SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY rank)::INT AS place FROM s WHERE k <= 1 QUALIFY place <= 8",
-        "ground_truth": f"WITH {CHUNKS}, {TRUTH} SELECT * FROM truth",
-        "recall_at_k": f"WITH {CHUNKS}, {_bm25('chunks', 'lexical')}, {TRUTH}, f AS (SELECT item_id, min(rank) AS r FROM truth LEFT JOIN lexical USING (item_id, doc_id) GROUP BY item_id) SELECT count(*) AS n_questions, {ks} FROM f",
-    }
+    return {name: sql for plan in PLANS for name, sql in plan.oracle_sql().items()}
