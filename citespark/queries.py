@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from citespark.plans import retrieval
+from citespark.plans import answering, retrieval
 
-PLANS = [retrieval]
+PLANS = [retrieval, answering]
 
 
 def queries() -> dict:
