@@ -39,7 +39,7 @@ def toc_title(s: Column) -> Column:
 
 def money(cell: Column, lang: Column) -> Column:
     """A money cell in the manner of its language -> whole euros; null for blanks, zero and other text. Not range-checked."""
-    s = F.trim(F.regexp_replace(F.coalesce(cell, F.lit("")), " ", " "))
+    s = F.trim(F.translate(F.coalesce(cell, F.lit("")), "\u00a0", " "))
     s = F.trim(F.regexp_replace(s, r"[,.]\s*-\s*$", ""))
     de = F.split_part(F.regexp_replace(s, r"[ .]", ""), F.lit(","), F.lit(1))
     en = F.split_part(F.regexp_replace(s, r"[ ,]", ""), F.lit("."), F.lit(1))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from citespark.plans import answering, retrieval
+from citespark.plans import answering, ingest, retrieval
 
-PLANS = [retrieval, answering]
+PLANS = [retrieval, answering, ingest]
 
 
 def queries() -> dict:
