@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from citespark.plans import answering, ingest, retrieval
+from citespark.plans import answering, evaluating, ingest, retrieval
 
-PLANS = [retrieval, answering, ingest]
+PLANS = [retrieval, answering, ingest, evaluating]
 
 
 def queries() -> dict:
