@@ -40,21 +40,21 @@ def build(postings: DataFrame, path: str, n_docs: int) -> None:
     raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf")).write.mode("overwrite").parquet(f"{path}/terms")
 
 
-def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{path}/{t}") for t in TABLES}
+def load(spark: SparkSession, path: str, more: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{path}/{t}") for t in (*TABLES, *more)}
 
 
-def once(spark: SparkSession, name: str, make) -> dict[str, DataFrame]:
-    """The index of this name, built by make(path) at its first use in this application."""
+def once(spark: SparkSession, name: str, make, more: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The index of this name, built by make(path) at its first use in this application; ``more``: what else make writes."""
     key = (spark.sparkContext.applicationId, name)
     if key not in _BUILT:
         path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
         make(path)
         _BUILT[key] = path
-    return load(spark, _BUILT[key])
+    return load(spark, _BUILT[key], more)
 
 
-def replace(spark: SparkSession, name: str, make) -> dict[str, DataFrame]:
+def replace(spark: SparkSession, name: str, make, more: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Build anew beside the old one and switch; queries that run keep reading the old tables."""
     _BUILT.pop((spark.sparkContext.applicationId, name), None)
-    return once(spark, name, make)
+    return once(spark, name, make, more)

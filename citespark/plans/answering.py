@@ -150,7 +150,7 @@ notices AS (SELECT item_id, CASE WHEN g IS NULL THEN NULL WHEN lang = 'de' THEN
 
     def ranked(asked: str) -> str:
         return f"""{P.bm25_sql('scoped', 'lexical', asked, 3)},
-ranked AS (SELECT item_id, rank, score, doc_id, c.chunk_id, short_title, section_ref, CASE WHEN source_type = 'kv' THEN year(valid_from) END AS year, r.lang, {cite} AS citation, coalesce(c.text, '') AS text
+ranked AS (SELECT item_id, rank, score, doc_id, c.chunk_id, short_title, section_ref, CASE WHEN source_type = 'kv' THEN year(valid_from)::INT END AS year, r.lang, {cite} AS citation, coalesce(c.text, '') AS text
   FROM lexical JOIN chunks c USING (doc_id) JOIN requests r USING (item_id))"""
 
     strip = r"regexp_replace(text, '^[ \t\n\r]+|[ \t\n\r]+$', '', 'g')"

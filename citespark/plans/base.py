@@ -105,7 +105,7 @@ def stemmed_index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         found.write.mode("overwrite").parquet(f"{path}/compounds")
         index.build(lexical.stemmed_postings(docs, spark.read.parquet(f"{path}/compounds")), path, docs.count())
 
-    return index.once(spark, f"{sf_dir} stems", make)
+    return index.once(spark, f"{sf_dir} stems", make, ("compounds",))
 
 
 def bm25_sql(allowed: str, name: str, asked: str = "benchmark", k: int = 10, part: str = "") -> str:

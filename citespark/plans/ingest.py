@@ -34,9 +34,10 @@ def _toc_lines(spark, sf_dir) -> DataFrame:
 def _body_lines(spark, sf_dir) -> DataFrame:
     """(doc, page, pos, text): a heading in two lines before every seventh line, a cross reference before every fifth."""
     k = F.floor(F.col("i") / 7) + 1
-    heading = F.array(F.concat(F.lit("Art. "), k, F.lit(" Rule "), k, F.lit(" terms")), _group(), F.col("t"))
+    name = F.concat(F.lit("Rule "), k, F.lit(" terms"))
+    heading = F.when(k % 2 == 0, F.array(F.concat(F.lit("Art. "), k), name, _group(), F.col("t"))).otherwise(F.array(F.concat(F.lit("Art. "), k, F.lit(" "), name), _group(), F.col("t")))
     found = F.when(F.col("i") % 7 == 0, heading).when(F.col("i") % 5 == 1, F.array(F.lit("Art. 1 III. applies"), F.col("t"))).otherwise(F.array("t"))
-    return _lines(spark, sf_dir).select("doc", (3 + F.floor(F.col("i") / 20)).cast("int").alias("page"), "i", F.posexplode(found).alias("j", "text")).select("doc", "page", (3 * F.col("i") + F.col("j")).alias("pos"), "text")
+    return _lines(spark, sf_dir).select("doc", (3 + F.floor(F.col("i") / 20)).cast("int").alias("page"), "i", F.posexplode(found).alias("j", "text")).select("doc", "page", (4 * F.col("i") + F.col("j")).alias("pos"), "text")
 
 
 def toc_parse(spark, sf_dir):
@@ -245,7 +246,7 @@ tq AS (SELECT doc, entry, max('§ ' || num) FILTER (num <> '') AS ref, string_ag
 tr AS (SELECT doc, entry, ref, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(s, '\s+', ' ', 'g')), '{T.LEADER}', ' ', 'g'), '[\s.]*[0-9]*\s*$', ''), '^[ .]+|[ .]+$', '', 'g') AS title FROM tq),
 toc AS (SELECT doc, ref, title FROM tr WHERE title <> '' QUALIFY row_number() OVER (PARTITION BY doc, ref ORDER BY entry) = 1)"""
     marked = rf"""{toc},
-bl AS (SELECT doc, (3 + i // 20)::INT AS page, 3 * i + generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS text FROM (SELECT *, CASE WHEN i % 7 = 0 THEN ['Art. ' || (i // 7 + 1) || ' Rule ' || (i // 7 + 1) || ' terms', {group}, t]
+bl AS (SELECT doc, (3 + i // 20)::INT AS page, (4 * i + generate_subscripts(a, 1) - 1)::INT AS pos, unnest(a) AS text FROM (SELECT *, CASE WHEN i % 14 = 7 THEN ['Art. ' || (i // 7 + 1), 'Rule ' || (i // 7 + 1) || ' terms', {group}, t] WHEN i % 7 = 0 THEN ['Art. ' || (i // 7 + 1) || ' Rule ' || (i // 7 + 1) || ' terms', {group}, t]
   WHEN i % 5 = 1 THEN ['Art. 1 III. applies', t] ELSE [t] END AS a FROM ln)),
 bn AS (SELECT *, '§ ' || nullif(regexp_extract(text, '{T.SECTION_START}', 1), '') AS r FROM bl),
 mk AS (SELECT bn.doc, page, pos, text, CASE WHEN toc.title IS NOT NULL AND page > 2 AND NOT regexp_matches(text, '{T.LEADER}') AND starts_with({norm('toc.title')}, left({norm(f"regexp_replace(text, '{T.SECTION_REST}', '')")}, length({norm('toc.title')}))) THEN toc.ref END AS ref, toc.title FROM bn LEFT JOIN toc ON toc.doc = bn.doc AND toc.ref = bn.r)"""

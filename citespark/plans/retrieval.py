@@ -65,12 +65,12 @@ def decompound(spark, sf_dir):
 
 def analyzed_terms(spark, sf_dir):
     """What the analysis makes of the questions, under both stemmers."""
-    return lexical.query_terms(P.questions(spark, sf_dir), P.compounds(spark, sf_dir))
+    return lexical.query_terms(P.questions(spark, sf_dir), P.stemmed_index_of(spark, sf_dir)["compounds"])
 
 
 def stemmed_bm25(spark, sf_dir):
     built = P.stemmed_index_of(spark, sf_dir)
-    asked = lexical.query_terms(P.questions(spark, sf_dir), P.compounds(spark, sf_dir))
+    asked = lexical.query_terms(P.questions(spark, sf_dir), built["compounds"])
     return rank.bm25(asked, built, 10, scope.scope(P.chunks(spark, sf_dir), P.day()))
 
 
