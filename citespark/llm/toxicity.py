@@ -127,15 +127,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, fairnes
     Rows with a null label or id teach nothing. A doc_id with several labels counts with each. No labels, or one only: an
     intercept of one in ten and no weights.
     """
-    import numpy as np
-
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").distinct()
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")  # at most sample_rows rows
-    got = rows.mapInPandas(sample_features, "toxic int, x array<int>, gain array<int>, loss array<int>").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got["toxic"][i], bytes(memoryview(np.asarray(got["x"][i], dtype=np.int32)))))]
-    return fit(got["toxic"], got["x"], got["gain"], got["loss"], fairness=fairness)
+    sample = rows.mapInPandas(sample_features, "toxic int, x array<int>, gain array<int>, loss array<int>").repartition(1)
+    weights = {r.bucket: r.weight for r in sample.mapInPandas(fitted(fairness), "bucket int, weight double").collect()}
+    intercept = weights.pop(-1, math.log(1 / 9))
+    return weights, intercept
+
+
+def fitted(fairness: float):
+    """The features of the sample, which is bounded, in one task -> (bucket, weight), the intercept as bucket -1."""
+    import numpy as np
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(int(t), np.asarray(x, dtype=np.int32), g, h) for pdf in batches for t, x, g, h in zip(pdf["toxic"], pdf["x"], pdf["gain"], pdf["loss"])]
+        rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+        weights, intercept = fit(*([r[i] for r in rows] for i in range(4)), fairness=fairness)
+        yield pd.DataFrame({"bucket": [*weights, -1], "weight": [*weights.values(), intercept]})
+
+    return run
 
 
 def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str = "text", out: str = "score") -> DataFrame:
