@@ -331,21 +331,24 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     BANDS bands of BAND_ROWS minima: a pair of similarity 0.8 is missed with a chance of (1 - 0.8 ** 4) ** 20 = 0.00003.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    rows = scratch.put("docs", docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct("*").alias("_row")))
-    id_, text_ = F.col("_row").getField(id_col), F.col("_row").getField(text_col)
-    plain = rows.select("_uid", id_.alias("_id"), F.xxhash64(F.coalesce(text_, F.lit(""))).alias("_h"), text_.alias("_text"))
-    keep = ["_uid", "_id", "_h"]
+    # a row is known by its id and its text; ids of rows that a scan hands out anew each time would not do
+    plain = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text"))
+    keep = ["_id", "_h"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
-    sets = scratch.put("sets", plain.mapInPandas(per_row(sketcher, keep, "_text", ["k1", "k2", "n", "bands"]), schema + ", k1 bigint, k2 bigint, n bigint, bands array<bigint>"))
-    order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_h", "_uid")
-    one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first")).select(F.col("first._uid").alias("node"), "first")
-    one = scratch.put("one", one)
-    nodes = one.join(sets.select(F.col("_uid").alias("node"), "n", "bands").hint("shuffle_merge"), "node").where("n > 0").select("node", "n", "bands")
-    texts = rows.select(F.col("_uid").alias("node"), text_.alias("text"))
-    cc = near_links(nodes, texts, scratch)
-    groups = one.join(cc.hint("shuffle_merge"), "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._uid").alias("_uid"))
-    return rows.join(kept.hint("shuffle_merge"), "_uid", "left_semi").select("_row.*")
+    sets = plain.mapInPandas(per_row(sketcher, keep, "_text", ["k1", "k2", "n", "bands"]), schema + ", k1 bigint, k2 bigint, n bigint, bands array<bigint>")
+    order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_h")
+    one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    one = scratch.put("one", one.select(F.monotonically_increasing_id().alias("node"), "first", "n", "bands"))
+    spot = one.select("node", "n", F.col("first._id").alias("i"), F.col("first._h").alias("h"))
+    texts = plain.join(spot.where("n > 0").hint("shuffle_merge"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")))
+    texts = scratch.put("texts", texts.groupBy("node").agg(F.first("_text").alias("text")))
+    cc = near_links(one.where("n > 0").select("node", "n", "bands"), texts, scratch)
+    groups = one.select("node", "first").join(cc.hint("shuffle_merge"), "node", "left").select("first", F.coalesce("component", "node").alias("component"))
+    kept = scratch.put("kept", groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._id").alias("i"), F.col("first._h").alias("h")))
+    scratch.only("kept")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.struct("*").alias("_row"))
+    left = rows.join(kept.hint("shuffle_merge"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")), "left_semi")
+    return left.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
