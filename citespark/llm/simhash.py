@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citespark.llm.common import Scratch, documents, join_groups, per_row
@@ -276,18 +276,24 @@ def connect(pdf):
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
-def near_links(nodes: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """nodes (node, n, bands) with different shingle sets, texts (node, text) -> (node, component) of the links of Jaccard >= 0.8.
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, bands) with different shingle sets -> (band, cell, node, n, component: node) of buckets with several members.
 
-    Candidates share a bucket, that is one band. In a bucket, members are compared with one of them (in STARS rounds, each with
-    another one); buckets whose members are then in several components are searched whole, in pieces of HELD shingles, two
-    pieces in a task, so that no candidate pair is passed over. Pairs are never listed but for one for each member and round.
+    A bucket is one band. Buckets with the same members count once.
     """
     cells = nodes.select("node", "n", F.posexplode("bands").alias("band", "cell"))
     sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    # buckets with the same members count once
     once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "cell")).alias("k")).select("k.band", "k.cell")
-    left = scratch.put("buckets", cells.join(once, ["band", "cell"]).select("band", "cell", "node", "n", F.col("node").alias("component")))
+    return cells.join(once, ["band", "cell"]).select("band", "cell", "node", "n", F.col("node").alias("component"))
+
+
+def near_links(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """left as shared_buckets gives it, texts (node, text) of its nodes -> (node, component) of the links of Jaccard >= 0.8.
+
+    In a bucket, members are compared with one of them (in STARS rounds, each with another one); buckets whose members are then
+    in several components are searched whole, in pieces of HELD shingles, two pieces in a task, so that no candidate pair is
+    passed over. Pairs are never listed but for one for each member and round.
+    """
     links_, cc = None, None
 
     def with_texts(pairs: DataFrame) -> DataFrame:
@@ -339,16 +345,26 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_h")
     one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     one = scratch.put("one", one.select(F.monotonically_increasing_id().alias("node"), "first", "n", "bands"))
-    spot = one.select("node", "n", F.col("first._id").alias("i"), F.col("first._h").alias("h"))
-    texts = plain.join(spot.where("n > 0").hint("shuffle_merge"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")))
-    texts = scratch.put("texts", texts.groupBy("node").agg(F.first("_text").alias("text")))
-    cc = near_links(one.where("n > 0").select("node", "n", "bands"), texts, scratch)
+    left = scratch.put("buckets", shared_buckets(one.where("n > 0").select("node", "n", "bands")))
+    # texts travel for the nodes of a bucket only; one shuffle on the keys serves the join and the aggregation
+    spot = one.select("node", *row_keys(F.col("first._id"), F.col("first._h"))).join(left.select("node").distinct(), "node", "left_semi")
+    texts = plain.select(*row_keys(F.col("_id"), F.col("_h")), "_text").join(spot.hint("shuffle_merge"), ROW)
+    texts = scratch.put("texts", texts.groupBy(*ROW).agg(F.first("node").alias("node"), F.first("_text").alias("text")).select("node", "text"))
+    cc = near_links(left, texts, scratch)
     groups = one.select("node", "first").join(cc.hint("shuffle_merge"), "node", "left").select("first", F.coalesce("component", "node").alias("component"))
-    kept = scratch.put("kept", groups.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._id").alias("i"), F.col("first._h").alias("h")))
+    kept = scratch.put("kept", groups.groupBy("component").agg(F.min("first").alias("first")).select(*row_keys(F.col("first._id"), F.col("first._h"))))
     scratch.only("kept")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.struct("*").alias("_row"))
-    left = rows.join(kept.hint("shuffle_merge"), F.col("_id").eqNullSafe(F.col("i")) & (F.col("_h") == F.col("h")), "left_semi")
-    return left.groupBy("_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*")
+    rows = docs.select(*row_keys(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), F.struct("*").alias("_row"))
+    same = rows.join(kept.hint("shuffle_merge"), ROW, "left_semi")
+    return same.groupBy(*ROW).agg(F.first("_row").alias("_row")).select("_row.*")
+
+
+#: Columns that tell rows apart by id and text; none is null, so that they are plain keys of a join.
+ROW = ["_none", "_key", "_hash"]
+
+
+def row_keys(id_: Column, text_hash: Column) -> list[Column]:
+    return [c.alias(name) for c, name in zip((id_.isNull(), F.coalesce(id_.cast("string"), F.lit("")), text_hash), ROW)]
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
