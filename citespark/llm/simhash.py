@@ -4,8 +4,9 @@ A 64-bit fingerprint is mapped to the bit counts of 32 two-bit segments. The Man
 vectors is a lower bound of the Hamming distance between the fingerprints. ``links`` joins the vectors on a grid, keeps
 pairs within Manhattan distance 2 and verifies those by exact Hamming distance; it returns a spanning forest, not the pairs.
 
-The stage of the pipeline does not use fingerprints: texts of similarity 0.8 differ in about ten of 64 bits. It finds
-candidates by bands of minimum hashes of five-word shingles and verifies each by its exact Jaccard similarity.
+The stage of the pipeline takes the same steps with 256 bits of five-word shingles, as texts of similarity 0.8 differ in about ten
+of 64 bits: counts of two-bit segments, range join (on a grid of sizes: no cell of counts prunes at that distance), Manhattan
+bound, exact Hamming distance, components. Within a component the texts' exact Jaccard similarity decides.
 """
 
 from __future__ import annotations
@@ -77,6 +78,14 @@ def spanning(p, q):
     return nodes[moved], nodes[label[moved]]
 
 
+def unary(x):
+    """Bits as uint64 -> the counts of their two-bit segments in unary, so that the distance of two counts is that of their bits."""
+    import numpy as np
+
+    lo, hi = x & np.uint64(LOW), (x >> np.uint64(1)) & np.uint64(LOW)
+    return (hi | lo) | ((hi & lo) << np.uint64(1))
+
+
 def range_join(batches: Iterator):
     """Rows (cell, visit, fp) sorted by cell, homes before visitors -> edges (a, b): a forest of the pairs found within BITS.
 
@@ -85,10 +94,6 @@ def range_join(batches: Iterator):
     import numpy as np
     import pandas as pd
 
-    def unary(x):
-        lo, hi = x & np.uint64(LOW), (x >> np.uint64(1)) & np.uint64(LOW)
-        return (hi | lo) | ((hi & lo) << np.uint64(1))
-
     def search(cell, visit, fp):
         x = fp.view(np.uint64)
         u = unary(x)
@@ -172,8 +177,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a shingle; bands and minima of a band; rounds of comparison with one member; shingles that a task holds of a bucket (twice).
-NEAR_WORDS, BANDS, BAND_ROWS, STARS, HELD = 5, 20, 4, 3, 1 << 21
+#: Words of a shingle; 64-bit words of a fingerprint, bits that may differ; rounds of comparison with one member; shingles that a task holds of a bucket (twice).
+NEAR_WORDS, PRINT, NEAR_BITS, STARS, HELD = 5, 4, 72, 3, 1 << 21
+#: Ratio of the sizes of a cell, over 1 / 0.8; pieces that all rows make if sizes are alike; least rows of a piece.
+STEP, PIECES, PIECE = 1.26, 24, 1024
+PRINTS = [f"f{i}" for i in range(PRINT)]
 
 
 def shingle_set(text: str):
@@ -189,26 +197,89 @@ def shingle_set(text: str):
 
 
 def sketcher():
-    """text -> (k1, k2: 128-bit hash of the shingle set; n: its size; bands: BANDS hashes of BAND_ROWS minima each)"""
+    """text -> (k1, k2: 128-bit hash of the shingle set; n: its size; f0 to f3: the set's fingerprint, a bit is 1 if set in over half the hashes)"""
     import numpy as np
     import xxhash
 
     rng = np.random.default_rng(SEED)
-    odd = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    mask = rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+    odd = rng.integers(0, 1 << 63, (2, PRINT - 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mask = rng.integers(0, 1 << 63, PRINT - 1, dtype=np.uint64)
 
     def of(text: str) -> tuple:
         s = shingle_set(text)
         k = xxhash.xxh3_128_intdigest(s.tobytes())
-        bands = []
-        if len(s):
-            least = np.array([((s ^ m) * a).min() for a, m in zip(odd, mask)], dtype=np.uint64).reshape(BANDS, BAND_ROWS)
-            bands = [signed(xxhash.xxh64_intdigest(row.tobytes(), i)) for i, row in enumerate(least)]
-        return signed(k >> 64), signed(k & ((1 << 64) - 1)), len(s), bands
+        ones = np.zeros(64 * PRINT, dtype=np.int64)
+        for i in range(0, len(s), 1 << 13):
+            part = s[i:i + (1 << 13), None]
+            more = (part ^ mask) * odd[0]
+            more = (more ^ (more >> np.uint64(32))) * odd[1]
+            h = np.concatenate([part, more ^ (more >> np.uint64(29))], axis=1)
+            ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.int32)
+        return signed(k >> 64), signed(k & ((1 << 64) - 1)), len(s), *np.packbits(2 * ones > len(s), bitorder="little").view(np.int64).tolist()
 
     return of
 
 
+def wide_join(pdf):
+    """Rows (side, n, node, f0 to f3) of one piece, or of two (sides 0 and 1) -> edges (a, b): a forest of the pairs within NEAR_BITS
+    whose sizes n allow a Jaccard similarity of 0.8."""
+    import numpy as np
+    import pandas as pd
+
+    def arrays(rows):
+        rows = rows.sort_values("n", kind="stable")
+        x = np.ascontiguousarray(rows[PRINTS].to_numpy().T).view(np.uint64)
+        return rows["n"].to_numpy(), rows["node"].to_numpy(), x, unary(x)
+
+    two = pdf["side"].nunique() == 2
+    if not two and not pdf["within"].iloc[0]:
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    sides = sorted((pdf[pdf["side"] == k] for k in (0, 1)), key=len) if two else [pdf, pdf]
+    (n, node, x, u), (m, other, y, v) = map(arrays, sides)
+    lo, hi = np.searchsorted(5 * m, 4 * n), np.searchsorted(4 * m, 5 * n, side="right")
+    if not two:
+        lo = np.arange(1, len(n) + 1)
+    p, q, held = [], [], 0
+    for i in range(len(n)):
+        w = slice(lo[i], hi[i])
+        d = np.bitwise_count(v[0, w] ^ u[0, i])
+        for k in range(1, PRINT):
+            d += np.bitwise_count(v[k, w] ^ u[k, i])  # Manhattan distance of the counts: the lower bound
+        j = lo[i] + np.flatnonzero(d <= NEAR_BITS)
+        if len(j):
+            j = j[np.bitwise_count(y[:, j] ^ x[:, i:i + 1]).sum(axis=0, dtype=np.int64) <= NEAR_BITS]
+            p.append(np.full(len(j), node[i]))
+            q.append(other[j])
+            held += len(j)
+            if held > 1 << 20:
+                a, b = spanning(np.concatenate(p), np.concatenate(q))
+                p, q, held = [a], [b], len(a)
+    a, b = spanning(np.concatenate(p), np.concatenate(q)) if held else (node[:0], node[:0])
+    return pd.DataFrame({"a": a, "b": b})
+
+
+def wide_links(nodes: DataFrame) -> DataFrame:
+    """nodes (node, n, f0 to f3) with different shingle sets, n > 0 -> edges (a, b) with the same components as all pairs within
+    NEAR_BITS whose sizes allow a Jaccard similarity of 0.8.
+
+    Sizes of such pairs lie in one cell of ratio STEP or in two that touch. A cell is dealt in pieces by the node's hash, each two
+    pieces of one or of touching cells meet in a task, so that none grows with a common size.
+    """
+    cells = nodes.withColumn("cell", F.floor(F.log("n") / F.log(F.lit(STEP))).cast("int"))
+    rows = {r.cell: r.m for r in cells.groupBy("cell").agg(F.count("*").alias("m")).collect()}  # some 60 rows at most
+    size = max(PIECE, sum(rows.values()) // PIECES + 1)
+    pieces = [-(-rows.get(c, 0) // size) for c in range(-1, max(rows, default=0) + 2)]
+    of = lambda step: F.element_at(F.array(*map(F.lit, pieces)), F.col("cell") + (2 + step))
+    each = lambda step, f: F.when(of(step) > 0, F.transform(F.sequence(F.lit(0), of(step) - 1), f)).otherwise(F.array())
+    spot = lambda c, d, i, j, side: F.struct(c.alias("c"), d.alias("d"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    s, cell = F.col("s"), F.col("cell")
+    tasks = F.concat(each(0, lambda t: spot(cell, cell, F.least(s, t), F.greatest(s, t), s > t)),
+                     each(1, lambda t: spot(cell, cell + 1, s, t, F.lit(0))), each(-1, lambda t: spot(cell - 1, cell, t, s, F.lit(1))))
+    dealt = cells.withColumn("s", F.pmod(F.xxhash64("node"), of(0)).cast("int")).select("n", "node", *PRINTS, F.explode(tasks).alias("t"))
+    dealt = dealt.select("t.*", F.expr("t.c = t.d and t.i = t.j").alias("within"), "n", "node", *PRINTS)
+    return dealt.groupBy("c", "d", "i", "j").applyInPandas(wide_join, "a long, b long")
+
+
 def alike(batches: Iterator):
     """Rows (a, b, ta, tb) -> (a, b) of those whose texts have a Jaccard similarity of 0.8 or more."""
     import numpy as np
@@ -276,19 +347,8 @@ def connect(pdf):
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
-def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """nodes (node, n, bands) with different shingle sets -> (band, cell, node, n, component: node) of buckets with several members.
-
-    A bucket is one band. Buckets with the same members count once.
-    """
-    cells = nodes.select("node", "n", F.posexplode("bands").alias("band", "cell"))
-    sizes = cells.groupBy("band", "cell").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    once = sizes.where("m > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "cell")).alias("k")).select("k.band", "k.cell")
-    return cells.join(once, ["band", "cell"]).select("band", "cell", "node", "n", F.col("node").alias("component"))
-
-
 def near_links(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """left as shared_buckets gives it, texts (node, text) of its nodes -> (node, component) of the links of Jaccard >= 0.8.
+    """left (bucket, node, n, component: node), texts (node, text) of its nodes -> (node, component) of the links of Jaccard >= 0.8.
 
     In a bucket, members are compared with one of them (in STARS rounds, each with another one); buckets whose members are then
     in several components are searched whole, in pieces of HELD shingles, two pieces in a task, so that no candidate pair is
@@ -304,25 +364,25 @@ def near_links(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame
     for r in range(STARS + 1):
         if r < STARS:
             size = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node"), F.col("n"), F.col("component"))
-            other = left.groupBy("band", "cell").agg(F.min(size).alias("c")).select("band", "cell", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
-            pairs = left.join(other, ["band", "cell"]).where("component <> ca and 5 * least(n, na) >= 4 * greatest(n, na)")
+            other = left.groupBy("bucket").agg(F.min(size).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("c.component").alias("ca"))
+            pairs = left.join(other, "bucket").where("component <> ca and 5 * least(n, na) >= 4 * greatest(n, na)")
             pairs = scratch.put(f"pairs{r}", pairs.select("a", F.col("node").alias("b")).distinct())
             found = with_texts(pairs).mapInPandas(alike, "a long, b long")
         else:
             sets = left.select("node").distinct().join(texts.hint("shuffle_merge"), "node").mapInPandas(packed_sets, "node long, shingles binary")
             sets = scratch.put("shingles", sets)
-            cuts = left.groupBy("band", "cell").agg(F.ceil(F.sum("n") / HELD).alias("cut"))
-            own = left.join(cuts, ["band", "cell"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("cut")))
-            dealt = own.select("band", "cell", "node", "component", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("u"))
-            dealt = dealt.select("band", "cell", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "component")
-            found = dealt.join(sets.hint("shuffle_merge"), "node").groupBy("band", "cell", "i", "j").applyInPandas(connect, "a long, b long")
+            cuts = left.groupBy("bucket").agg(F.ceil(F.sum("n") / HELD).alias("cut"))
+            own = left.join(cuts, "bucket").withColumn("t", F.pmod(F.xxhash64("node"), F.col("cut")))
+            dealt = own.select("bucket", "node", "component", "t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)).alias("u"))
+            dealt = dealt.select("bucket", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "component")
+            found = dealt.join(sets.hint("shuffle_merge"), "node").groupBy("bucket", "i", "j").applyInPandas(connect, "a long, b long")
         found = scratch.put(f"links{r}", found.distinct())
         links_ = found if links_ is None else links_.unionByName(found)
         cc = components(links_, scratch, f"near{r}_")
         if r < STARS:
-            now = left.drop("component").join(cc.hint("shuffle_merge"), "node", "left").select("band", "cell", "node", "n", F.coalesce("component", "node").alias("component"))
-            mixed = now.groupBy("band", "cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "cell")
-            left = scratch.put(f"left{r}", now.join(mixed, ["band", "cell"]))
+            now = left.drop("component").join(cc.hint("shuffle_merge"), "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+            mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+            left = scratch.put(f"left{r}", now.join(mixed, "bucket"))
             if left.isEmpty():
                 break
     return cc
@@ -333,19 +393,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shingles >= 0.8, and what is reachable by it. The row is the one with the smallest id (null last), then the smallest
     hash of the text; rows that are equal in both count as copies like any other.
 
-    Null and empty texts and texts of white space are copies of each other. No rows give no rows. Candidates come from
-    BANDS bands of BAND_ROWS minima: a pair of similarity 0.8 is missed with a chance of (1 - 0.8 ** 4) ** 20 = 0.00003.
+    Null and empty texts and texts of white space are copies of each other. No rows give no rows. Candidates are the
+    components of fingerprints within NEAR_BITS of 256: of a pair of similarity 0.8 a bit differs with a chance of 0.15 (sets of 4 and 5
+    shingles: 0.19), so it is missed with one of under 0.0001 where bits are independent.
     """
     scratch = Scratch(docs.sparkSession, "near")
     # a row is known by its id and its text; ids of rows that a scan hands out anew each time would not do
     plain = docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_h"), F.col(text_col).alias("_text"))
     keep = ["_id", "_h"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.select(*keep).schema)
-    sets = plain.mapInPandas(per_row(sketcher, keep, "_text", ["k1", "k2", "n", "bands"]), schema + ", k1 bigint, k2 bigint, n bigint, bands array<bigint>")
+    sets = plain.mapInPandas(per_row(sketcher, keep, "_text", ["k1", "k2", "n", *PRINTS]), schema + ", k1 bigint, k2 bigint, n bigint" + "".join(f", {f} bigint" for f in PRINTS))
     order = F.struct(F.col("_id").isNull().alias("null"), "_id", "_h")
-    one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    one = scratch.put("one", one.select(F.monotonically_increasing_id().alias("node"), "first", "n", "bands"))
-    left = scratch.put("buckets", shared_buckets(one.where("n > 0").select("node", "n", "bands")))
+    one = sets.groupBy("k1", "k2").agg(F.min(order).alias("first"), F.first("n").alias("n"), *(F.first(f).alias(f) for f in PRINTS))
+    one = scratch.put("one", one.select(F.monotonically_increasing_id().alias("node"), "first", "n", *PRINTS))
+    alike_ = components(wide_links(one.where("n > 0").select("node", "n", *PRINTS)), scratch, "sim")
+    left = one.select("node", "n").join(alike_.hint("shuffle_merge"), "node")
+    left = scratch.put("buckets", left.select(F.col("component").alias("bucket"), "node", "n", F.col("node").alias("component")))
     # texts travel for the nodes of a bucket only; one shuffle on the keys serves the join and the aggregation
     spot = one.select("node", *row_keys(F.col("first._id"), F.col("first._h"))).join(left.select("node").distinct(), "node", "left_semi")
     texts = plain.select(*row_keys(F.col("_id"), F.col("_h")), "_text").join(spot.hint("shuffle_merge"), ROW)
